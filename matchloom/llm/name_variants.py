@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from ..session import checkpointed
 from . import school_names
 
-COSINE = 0.18  # least cosine of two vectors to be looked at
+COSINE = 0.1  # least cosine of two vectors to be looked at
 LINK = 0.35  # least mean similarity of two clusters to merge
 AREAS = 9  # 第1地区 .. 第9地区
 
@@ -105,11 +105,11 @@ def cosine_pairs(names: DataFrame, least: float = COSINE, grams=_grams) -> DataF
 
 
 def area_agreement(big: list[int], small: list[int]) -> float | None:
-    """Mean share of the larger name's areas, relative to its strongest, where the smaller one's records lie."""
-    total, peak = sum(small), max(big, default=0)
-    if not total or not peak:
+    """How well the smaller name's records lie where the larger one's do: 1 when they are spread alike."""
+    total, own = sum(small), sum(b * b for b in big)
+    if not total or not own:
         return None
-    return sum(s * b for s, b in zip(small, big, strict=True)) / (total * peak)
+    return min(1.0, sum(s * b for s, b in zip(small, big, strict=True)) * sum(big) / (total * own))
 
 
 def similarity(a: str, b: str, na: int, nb: int, areas_a: list[int], areas_b: list[int], shared: int) -> float:
@@ -137,10 +137,10 @@ def similarity(a: str, b: str, na: int, nb: int, areas_a: list[int], areas_b: li
     if nb >= 45 or ratio > 0.42:  # that many records of a variant would share a contest with the usual spelling
         return 0.0
     if rel == "drop":
-        return 0.6 if length > 2 else 0.36
+        return 0.65 if length > 2 else 0.5
     if agree is None:
-        return 0.36 if length > 2 and nb < 10 else 0.0
-    return 0.55 if length > 2 else 0.37 if nb < 12 else 0.0
+        return 0.4 if length > 2 and nb < 10 else 0.0
+    return 0.6 if length > 2 else 0.5 if nb < 12 else 0.0
 
 
 _SCORE_IN = ["a", "b", "na", "nb", "areas_a", "areas_b", "shared"]

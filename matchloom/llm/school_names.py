@@ -21,7 +21,7 @@ READINGS = {
     "かい": "貝", "かき": "柿", "かげ": "影", "かさ": "笠", "かし": "樫", "かぜ": "風", "かね": "鐘", "かば": "蒲", "かま": "鎌", "かみ": "神",
     "かめ": "亀", "かや": "茅", "から": "唐", "かわ": "川", "きく": "菊", "きし": "岸", "きた": "北", "きぬ": "衣", "きよ": "清", "きり": "桐",
     "くさ": "草", "くし": "櫛", "くす": "楠", "くち": "口", "くに": "国", "くぼ": "窪", "くま": "熊", "くも": "雲", "くら": "倉", "くろ": "黒",
-    "くわ": "桑", "こし": "越", "こと": "琴", "さか": "坂", "さき": "崎", "さぎ": "鷺", "ささ": "笹", "さと": "里", "さる": "猿", "さわ": "沢",
+    "くわ": "桑", "こし": "越", "こと": "琴", "こま": "駒", "さか": "坂", "さき": "崎", "さぎ": "鷺", "ささ": "笹", "さと": "里", "さる": "猿", "さわ": "沢",
     "しい": "椎", "しお": "塩", "しか": "鹿", "しき": "敷", "しの": "篠", "しば": "芝", "しま": "島", "しも": "霜", "しろ": "城", "すぎ": "杉",
     "すげ": "菅", "すず": "鈴", "すな": "砂", "すみ": "墨", "せき": "関", "せり": "芹", "その": "園", "そら": "空", "たか": "高", "たき": "滝",
     "たけ": "竹", "たな": "棚", "たに": "谷", "たね": "種", "たま": "玉", "たる": "樽", "ちか": "近", "つき": "月", "つじ": "辻", "つた": "蔦",
@@ -43,7 +43,7 @@ USUAL = dict(
 )
 # Suffixes of school names, in full and as people shorten them.
 SUFFIXES = {
-    "女子学園": "女子学園", "女学園": "女子学園", "女子学院": "女子学園", "女子": "女子学園", "科学技術": "科学技術", "科技": "科学技術", "科学技": "科学技術",
+    "女子学園": "女子学園", "女学園": "女子学園", "女子学院": "女子学園", "女子": "女子学園", "科学技術": "科学技術", "科技": "科学技術", "科学技": "科学技術", "科技術": "科学技術",
     "大学附属": "大附属", "大附属": "大附属", "大附": "大附属", "附属": "大附属", "学園": "学園", "学院": "学院", "大高": "大高", "大学": "大高", "義塾": "義塾",
     "商業": "商業", "工業": "工業", "工科": "工業", "農業": "農業", "実業": "実業", "総合": "総合", "国際": "国際", "インターナショナル": "国際", "芸術": "芸術",
     "第一": "第一", "第二": "第二", "第三": "第三", "第四": "第四", "第五": "第五", "館": "館", "東": "東", "西": "西", "南": "南", "北": "北",
@@ -53,7 +53,7 @@ SHORT = {
     "技": "科学技術", "大": "大高 大附属", "一": "第一", "二": "第二", "三": "第三", "四": "第四", "五": "第五", "女": "女子学園", "科": "科学技術",
 }
 KANA_WORDS = {"がくえん": "学園", "がくいん": "学院", "かん": "館", "ぎじゅく": "義塾", "だい": "第"}
-CLUB_ENDS = {"FCユース": "FCユース", "SCユース": "SCユース", "SCY": "SCユース", "FCY": "FCユース", "FC": "FC", "SC": "SC", "ユース": "ユース"}
+CLUB_ENDS = {"FCユース": "FCユース", "SCユース": "SCユース", "SCY": "SCユース", "FCY": "FCユース", "FC": "FC FCユース", "SC": "SC SCユース", "ユース": "FCユース SCユース"}
 READING = re.compile("|".join(sorted(READINGS, key=len, reverse=True)))
 MOVABLE = sorted((s for s in SUFFIXES if SUFFIXES[s] == s), key=len, reverse=True)
 BY_LENGTH = sorted(SUFFIXES, key=len, reverse=True)
@@ -80,6 +80,17 @@ def fold(name: str) -> str:
     return s
 
 
+def mechanical(name: str | None) -> str | None:
+    """A name as printed, cleaned as the normalised columns are: no width variants, remarks, spaces, owner or 高校."""
+    if not name:
+        return None
+    s = unicodedata.normalize("NFKC", name)
+    s = re.sub(r"\([^()]*\)", "", s)
+    s = re.sub(r"[\s\u200b-\u200f\u2060-\u2064\ufeff\xad]+", "", s)
+    s = re.sub(r"^(?:東京都立|都立|私立|国立|都・|私・|国・|都(?![市・])(?=..))", "", s)
+    return re.sub(r"(?<=.)(?:高等学校|高校)$", "", s) or None
+
+
 def _clean(base: str) -> str:
     """Readings to ideographs, particles out, doubled characters once."""
     base = READING.sub(lambda m: READINGS[m.group()], base)
@@ -102,15 +113,20 @@ def forms(name: str) -> tuple[Form, ...]:
     s = re.sub(r"(?<=[^\x00-\x7f])([1-5])(?=高?$)", lambda m: "第" + "一二三四五"[int(m.group(1)) - 1], s)
     out: list[Form] = []
     plain = s.replace("エフシー", "FC").replace("エスシー", "SC").replace("F.C.", "FC").replace("S.C.", "SC").replace(".", "")
-    head = re.match("[ァ-ヴー]{2,}", plain)
-    club = head.group() if head and len(plain) > head.end() else ""
-    rest = plain[len(club) :]
-    bare = rest[:-1] if rest.endswith("高") and len(rest) > 2 else rest
+    bare = plain[:-1] if plain.endswith("高") and len(plain) > 2 else plain
+    ends = ""
     for end, full in CLUB_ENDS.items():
         if bare.endswith(end) and len(bare) > len(end):
-            return (Form(club, _clean(bare[: -len(end)]), frozenset([full]), False),)
+            bare, ends = bare[: -len(end)], full
+            break
         if bare.startswith(end) and len(bare) > len(end):
-            return (Form(club, _clean(bare[len(end) :]), frozenset([full]), False),)
+            bare, ends = bare[len(end) :], full
+            break
+    word = re.search("[ァ-ヴー]{2,}", bare.replace("インターナショナル", ""))
+    club = word.group() if word and len(bare) > len(word.group()) else ""
+    if ends:
+        return (Form(club, _clean(bare.replace(club, "", 1)), frozenset(ends.split()), False),)
+    rest = plain.replace(club, "", 1) if club else plain
     s, club = (rest, club) if club else (s, "")
 
     def add(base: str, suffix: str, high: bool) -> None:
@@ -119,7 +135,7 @@ def forms(name: str) -> tuple[Form, ...]:
         if base and form not in out:
             out.append(form)
 
-    s = re.sub("(.[ぁ-ゖ]*)$", lambda m: READING.sub(lambda r: READINGS[r.group()], m.group()), s) if re.search("[ぁ-ゖ]$", s) else s
+    s = READING.sub(lambda m: READINGS[m.group()], s)
     tails = [(s, False)]
     if s.endswith("高") and len(s) > 2:
         tails.append((s[:-1], True))
@@ -182,10 +198,10 @@ def compare(a: str, b: str) -> tuple[str | None, int]:
             cost = {"same": 0, "swap": 2, "drop": 3, "other": 4}[rel] + (0 if clubs else 1)
             if cost == 0 and len(fa.suffix | fb.suffix) > 1:
                 cost, rel = 1, "suffix"
-            if not clubs and rel != "same":
+            if not clubs and rel not in ("same", "drop"):
                 continue
             if cost < best[0]:
-                best = (cost, rel if clubs else "suffix", max(len(fa.base), len(fb.base)))
+                best = (cost, rel if clubs or rel == "drop" else "suffix", max(len(fa.base), len(fb.base)))
     return best[1], best[2]
 
 
@@ -193,8 +209,8 @@ def grams(name: str) -> list[str]:
     """Character n-grams with gaps, regardless of order: pairs of base characters, and for short bases also each
     character with the suffix."""
     out: set[str] = set()
-    for f in forms(name):
-        chars = f.base
+    for f in forms(name)[:2]:
+        chars = f.base[:-1] if f.base.endswith("高") and len(f.base) > 2 else f.base
         out |= {"".join(sorted((x, y))) for i, x in enumerate(chars) for y in chars[i + 1 :]}
         if len(chars) <= 2:
             out |= {f"{c}|{s}" for c in chars for s in (f.suffix or {"-"})}
