@@ -71,7 +71,7 @@ class Form(NamedTuple):
 def fold(name: str) -> str:
     """Plain characters, no remarks, squads, owners or 高等学校."""
     s = unicodedata.normalize("NFKC", name)
-    s = re.sub(r"\([^()]*\)", "", s)
+    s = re.sub(r"\([^()]*\)|サッカー部$", "", s)
     s = re.sub(r"[\s​-‏⁠-⁤﻿]+", " ", s).strip()
     s = re.sub(r"\s+(?:[A-J]|\d(?:st|nd|rd|th)|Ⅱ|II|III|セカンド|サード)$", "", s)
     s = re.sub(r"[\s・\-]*U[\-‐]?\d\d$", "", s).replace(" ", "")
@@ -85,7 +85,7 @@ def mechanical(name: str | None) -> str | None:
     if not name:
         return None
     s = unicodedata.normalize("NFKC", name)
-    s = re.sub(r"\([^()]*\)", "", s)
+    s = re.sub(r"\([^()]*\)|サッカー部$", "", s)
     s = re.sub(r"[\s\u200b-\u200f\u2060-\u2064\ufeff\xad]+", "", s)
     s = re.sub(r"^(?:東京都立|都立|私立|国立|都・|私・|国・|都(?![市・])(?=..))", "", s)
     return re.sub(r"(?<=.)(?:高等学校|高校)$", "", s) or None
