@@ -178,7 +178,7 @@ def average_linkage(weights: DataFrame, pairs: DataFrame, threshold: float = LIN
     )
     edges = checkpointed(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "mass")))
     sizes = checkpointed(w.select(F.col("name").alias("c"), "n").join(edges.select(F.col("a").alias("c")).distinct(), "c"))
-    moves = None
+    steps: list[DataFrame] = []
     for _ in range(max_rounds):
         # neighbours by mean similarity; ties to the smaller name on both sides
         near = (
@@ -201,11 +201,15 @@ def average_linkage(weights: DataFrame, pairs: DataFrame, threshold: float = LIN
         )
         if step.isEmpty():
             break
-        moves = step.select("old", "new") if moves is None else moves
+        steps.append(step.select("old", "new"))
         ren = lambda df, c: df.join(step.select(F.col("old").alias(c), F.col("new").alias(f"_{c}")), c, "left").withColumn(c, F.coalesce(f"_{c}", c)).drop(f"_{c}")
         edges = checkpointed(ren(ren(edges, "a"), "b").where("a <> b").groupBy("a", "b").agg(F.sum("mass").alias("mass")))
         sizes = checkpointed(ren(sizes, "c").groupBy("c").agg(F.sum("n").alias("n")))
-        member = checkpointed(ren(member.withColumnRenamed("cluster", "c"), "c").withColumnRenamed("c", "cluster"))
+    # follow the moves of all rounds in their order
+    for step in steps:
+        member = (
+            member.join(step.withColumnRenamed("old", "cluster"), "cluster", "left").select("name", F.coalesce("new", "cluster").alias("cluster"))
+        )
     return member
 
 
