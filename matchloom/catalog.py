@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import q_records
+from .plans import q_reconcile, q_records
 
-MODULES = [q_records]
+MODULES = [q_records, q_reconcile]
 
 
 def queries() -> dict:

@@ -224,7 +224,7 @@ def oracle_sql() -> dict[str, str]:
  select season, series, stage, area, me, count(*) filter (status <> '不戦勝・棄権') games, count(*) filter (status <> '不戦勝・棄権' and won and not pk) wins,
  count(*) filter (status <> '不戦勝・棄権' and won and pk) pk_wins, count(*) filter (status <> '不戦勝・棄権' and not won and winner is not null and pk) pk_losses,
  count(*) filter (status <> '不戦勝・棄権' and not won and winner is not null and not pk) losses, count(*) filter (status = '不戦勝・棄権' and won) walkovers,
- arg_min(raw, seq) filter (raw is not null) raw, arg_max(round, (rr * 1000000000 + seq)) filter (round is not null) last_round,
+ arg_min(raw, seq) filter (raw is not null) raw, arg_max(round, (rr * 1000000000::bigint + seq)) filter (round is not null) last_round,
  string_agg(coalesce(round, '?') || case when won then '○' else '●' end, ' → ' order by rr, seq) path
  from r group by season, series, stage, area, me""",
         "summary_rollup": f"""{WITH} select me, season, series, count(*) n, count(*) filter (res = '○') w, count(*) filter (res = '△') d, count(*) filter (res = '●') l,
@@ -251,8 +251,8 @@ def oracle_sql() -> dict[str, str]:
         "winning_losing": f"""{WITH} select *, case when w > l then '勝ち越し' when w < l then '負け越し' else '五分' end kind from (select me, opp, count(*) n, count(*) filter (res = '○') w,
  count(*) filter (res = '●') l from views where opp is not null group by me, opp) where n >= 3""",
         "first_last_five_years": f"""{WITH}, y as (select me, season, count(*) n, count(*) filter (res = '○') w from views group by me, season),
- z as (select *, row_number() over (partition by me order by season) i, row_number() over (partition by me order by season desc) j, count(*) over (partition by me) years from y)
- select me, sum(w) filter (i <= 5) / sum(n) filter (i <= 5) first_rate, sum(w) filter (j <= 5) / sum(n) filter (j <= 5) last_rate from z where years >= 8 group by me""",
+ z as (select *, row_number() over (partition by me order by season) i, row_number() over (partition by me order by season desc) j, count(*) over (partition by me) as "years" from y)
+ select me, sum(w) filter (i <= 5) / sum(n) filter (i <= 5) first_rate, sum(w) filter (j <= 5) / sum(n) filter (j <= 5) last_rate from z where "years" >= 8 group by me""",
         "season_islands": f"""{WITH_ALL}, s as (select distinct me, series, season from views), t as (select *, season - row_number() over (partition by me, series order by season) k from s)
  select me, series, min(season) from_season, max(season) to_season from t group by me, series, k""",
         "stage_crosstab": f"""with {G} select area, count(*) filter (series = '新人戦') "新人戦", count(*) filter (series = '総体') "総体", count(*) filter (series = '選手権') "選手権",
