@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import q_reconcile, q_records
+from .plans import q_rating, q_reconcile, q_records, q_text
 
-MODULES = [q_records, q_reconcile]
+MODULES = [q_records, q_reconcile, q_rating, q_text]
 
 
 def queries() -> dict:
