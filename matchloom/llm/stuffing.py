@@ -180,7 +180,8 @@ def stuffing_share(docs: DataFrame, grams: list[str]) -> DataFrame:
 
 
 def scored_pages(docs: DataFrame) -> DataFrame:
-    curve = checkpointed(curves(shapes(docs)))
+    # the shapes are read three times (fit, medians, deviations): written once, the texts are parsed once
+    curve = checkpointed(curves(checkpointed(shapes(docs))))
     odd = (F.col("spread_z") > 3) | (F.col("slope_z") < -3) | (F.col("residual_z") > 3)
     stuffed = curve.where(odd & (F.col("functional") < 0.12) & (F.col("terms") >= 20) & (F.col("spread") > 0.35))
     prose = curve.where(((F.col("script") == "ja") & (F.col("functional") > 0.35)) | ((F.col("script") == "latin") & (F.col("functional") > 0.2)))
