@@ -118,14 +118,18 @@ def plain_values(values: DataFrame, text: str = "value", numeric: str = "numeric
         .agg(F.array_sort(F.collect_list(F.struct("ccc", "pos", "sub", "c"))).alias("parts"))
         .select("v", "num", "k", F.expr("array_join(transform(parts, x -> x.c), '')").alias("cluster"))
     )
-    whole = clusters.join(to_composed, "cluster", "left").select(
-        "v", "num", "k", "cluster", F.col("one").alias("whole"), F.substring("cluster", 1, 2).alias("head")
-    )
-    heads = to_composed.select(F.col("cluster").alias("head"), F.col("one").alias("first"))
-    composed = whole.join(F.broadcast(heads), "head", "left").select(
-        "v", "num", "k",
-        F.coalesce("whole", F.concat("first", F.expr("substring(cluster, 3)")), "cluster").alias("out"),
+    # the longest beginning that composes; else the second mark with the starter, past a first one that does not
+    forms = {"whole": F.col("cluster"), "first3": F.substring("cluster", 1, 3), "first2": F.substring("cluster", 1, 2),
+             "past": F.concat(F.substring("cluster", 1, 1), F.substring("cluster", 3, 1))}
+    composed = clusters
+    for name, form in forms.items():
+        one = to_composed.select(F.col("cluster").alias(f"{name}_key"), F.col("one").alias(name))
+        composed = composed.withColumn(f"{name}_key", form).join(F.broadcast(one), f"{name}_key", "left").drop(f"{name}_key")
+    out = F.coalesce(
+        "whole", F.concat("first3", F.expr("substring(cluster, 4)")), F.concat("first2", F.expr("substring(cluster, 3)")),
+        F.concat("past", F.expr("substring(cluster, 2, 1)"), F.expr("substring(cluster, 4)")), "cluster",
     )
+    composed = composed.select("v", "num", "k", out.alias("out"))
     rebuilt = (
         composed.groupBy("v", "num")
         .agg(F.array_sort(F.collect_list(F.struct("k", "out"))).alias("parts"))
