@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import q_rating, q_reconcile, q_records, q_text
+from .plans import q_dataset, q_rating, q_reconcile, q_records, q_text
 
-MODULES = [q_records, q_reconcile, q_rating, q_text]
+MODULES = [q_records, q_reconcile, q_rating, q_text, q_dataset]
 
 
 def queries() -> dict:
