@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..plans.ranking import global_rank
 from . import reconcile as R
 from .perspective import both_sides
 
@@ -28,7 +29,7 @@ def source_registry(g: DataFrame, existing: DataFrame) -> DataFrame:
     first = g.where("doc is not null").groupBy("doc").agg(F.min("seq").alias("first_seq"))
     j = first.join(existing, "doc", "left")
     top = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    fresh = j.where("id is null").withColumn("k", F.row_number().over(Window.orderBy("first_seq"))).crossJoin(F.broadcast(top))
+    fresh = global_rank(j.where("id is null"), F.col("first_seq"), name="k").crossJoin(F.broadcast(top))
     both = j.where("id is not null").select("doc", "id").unionByName(fresh.select("doc", (F.col("k") + F.col("top")).alias("id")))
     return both.select("doc", F.format_string("R%04d", "id").alias("source_id"))
 

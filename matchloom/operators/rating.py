@@ -1,9 +1,9 @@
 """Sequential rating: an ordered stateful fold, its configurations, projections and back-test.
 
 Each event reads and writes two ratings, so the fold is serial within a connected component; everything before and
-after it runs in parallel. Events are narrowed to a few columns, range-sorted into one ordered stream per group and
-folded over Arrow batches in `applyInArrow`; a group is one configuration (a sweep folds all of them side by side) or
-one component. The state is one entry per side, not per event.
+after it runs in parallel. Events are narrowed to a few columns, sorted by Spark within one partition per configuration (a
+sweep folds all of them side by side) and streamed through `mapInArrow` in batches: memory holds one entry per side
+and one batch, not the events.
 """
 
 from __future__ import annotations
@@ -58,6 +58,7 @@ def cup_events(g: DataFrame) -> DataFrame:
 
 
 _OUT = "config_id int, seq bigint, season int, a string, b string, ea double, eb double, p double, s double, na int, nb int, post_a double, post_b double"
+_IN = ("config_id", "seq", "season", "a", "b", "sa", "sb", "pk", "kind")
 _NAMES = [c.split()[0] for c in _OUT.split(", ")]
 _TYPES = [pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.string(), *[pa.float64()] * 4, pa.int32(), pa.int32(), pa.float64(), pa.float64()]
 
@@ -107,16 +108,19 @@ def rating_fold(events: DataFrame, configs: list[Config]) -> DataFrame:
     full = events.select("seq", "season", "a", "b", "sa", "sb", "day", "kind", "st", "rr", "pk").crossJoin(F.broadcast(table))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = pa.Table.from_batches(list(batches)).sort_by([(c, "ascending") for c in ("day", "kind", "st", "rr", "seq")])
-        cols = [whole.column(c).to_pylist() for c in ("config_id", "seq", "season", "a", "b", "sa", "sb", "pk", "kind")]
-        fold, out = None, []
-        for cid, seq, season, a, b, sa, sb, pk, kind in zip(*cols, strict=True):
-            fold = fold or Fold(by_id[cid])
-            out.append((cid, seq, season, a, b, *fold.step(season, a, b, sa, sb, pk, kind)))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), _TYPES, strict=True)], names=_NAMES)
-
-    return full.groupBy("config_id").applyInArrow(run, _OUT)
+        fold, current = None, None
+        for batch in batches:
+            out = []
+            for cid, seq, season, a, b, sa, sb, pk, kind in zip(*[batch.column(c).to_pylist() for c in _IN], strict=True):
+                if cid != current:
+                    fold, current = Fold(by_id[cid]), cid
+                out.append((cid, seq, season, a, b, *fold.step(season, a, b, sa, sb, pk, kind)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), _TYPES, strict=True)], names=_NAMES)
+
+    # each configuration in one partition, sorted by Spark (which spills), streamed through in batches
+    ordered = full.repartition("config_id").sortWithinPartitions("config_id", "day", "kind", "st", "rr", "seq")
+    return ordered.mapInArrow(run, _OUT)
 
 
 def final_ratings(fold: DataFrame) -> DataFrame:

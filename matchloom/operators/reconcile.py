@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..plans.ranking import global_rank
 from .perspective import PLAYED, both_sides
 
 
@@ -122,7 +123,7 @@ def surrogate_ids(g: DataFrame, existing: DataFrame) -> DataFrame:
     seen = both_sides(g).groupBy(F.col("me").alias("name")).agg(F.min("season").alias("first_season"), F.max("season").alias("last_season"))
     j = seen.join(existing, "name", "left")
     top = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    fresh = j.where("id is null").withColumn("k", F.row_number().over(Window.orderBy("first_season", "name"))).crossJoin(F.broadcast(top))
+    fresh = global_rank(j.where("id is null"), F.col("first_season"), F.col("name"), name="k").crossJoin(F.broadcast(top))
     old = j.where("id is not null")
     cols = ["name", "first_season", "last_season"]
     return old.select(*cols, "id").unionByName(fresh.select(*cols, (F.col("k") + F.col("top")).alias("id"))).withColumn("school_id", F.format_string("S%04d", "id")).drop("id")
