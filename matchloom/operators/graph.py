@@ -90,7 +90,7 @@ def advance(leaves: DataFrame, rounds: int, decided: DataFrame | None = None) ->
         if decided is not None:
             won = decided.select(F.col("winner").alias("team"), F.col("loser").alias("opp"), F.lit(1.0).alias("sure_w"))
             lost = decided.select(F.col("loser").alias("team"), F.col("winner").alias("opp"), F.lit(0.0).alias("sure_l"))
-            j = j.join(F.broadcast(won), ["team", "opp"], "left").join(F.broadcast(lost), ["team", "opp"], "left")
+            j = j.join(won, ["team", "opp"], "left").join(lost, ["team", "opp"], "left")
             chance = F.coalesce("sure_w", "sure_l", chance)
         now = j.groupBy("pos", "team", "rating").agg((F.first("p") * F.sum(F.col("opp_p") * chance)).alias("p"))
         levels.append(now.withColumn("round", F.lit(r)))

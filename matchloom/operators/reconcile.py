@@ -31,10 +31,10 @@ def version_dedup(g: DataFrame) -> DataFrame:
 
 
 def feeds_of(g: DataFrame) -> DataFrame:
-    """Five overlapping feeds out of the contests, by fixed remainders: feed k holds every contest whose seq mod 7 is at
+    """Five overlapping feeds out of all contests: the last feed holds every contest, feed k those whose seq mod 7 is at
     most k, undated every third time, sides exchanged in the even feeds."""
     feeds = g.sparkSession.createDataFrame([(k, f"f{k}") for k in range(5)], "k int, feed string")
-    j = g.where(is_played() & F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b"))).crossJoin(F.broadcast(feeds)).where("seq % 7 <= k")
+    j = g.where(is_played() & F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b"))).crossJoin(F.broadcast(feeds)).where("k = 4 or seq % 7 <= k")
     even = F.col("k") % 2 == 0
     return j.select(
         "feed", F.col("seq").alias("src_seq"), "season", F.col("series").alias("league"), F.when(F.col("seq") % 3 != F.col("k") % 3, F.col("date_text")).alias("date"),

@@ -73,7 +73,7 @@ def legacy_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
 
 def meeting_probability(spark: SparkSession, d: str) -> DataFrame:
-    leaves = checkpointed(table(spark, d, "supplier").where("s_suppkey < 8").select(F.col("s_suppkey").cast("int").alias("pos"), F.col("s_name").alias("team"), F.col("s_acctbal").alias("rating")))
+    leaves = checkpointed(table(spark, d, "supplier").select(F.col("s_suppkey").cast("int").alias("pos"), F.col("s_name").alias("team"), F.col("s_acctbal").alias("rating")))
     return D.meeting_probability(B.advance(leaves, 3), 3).select("round", "x", "y", F.round("p", 6).alias("p"))
 
 

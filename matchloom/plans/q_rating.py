@@ -113,23 +113,25 @@ def common_opponents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _leaves(spark: SparkSession, d: str) -> DataFrame:
-    """The first sixteen suppliers by key, with their balances as ratings."""
-    return table(spark, d, "supplier").where("s_suppkey < 16").select(F.col("s_suppkey").cast("int").alias("pos"), F.col("s_name").alias("team"), F.col("s_acctbal").alias("rating"))
+    """All suppliers by key, with their balances as ratings: every eight are a bracket."""
+    return table(spark, d, "supplier").select(F.col("s_suppkey").cast("int").alias("pos"), F.col("s_name").alias("team"), F.col("s_acctbal").alias("rating"))
 
 
 def bracket_advance(spark: SparkSession, d: str) -> DataFrame:
-    leaves = checkpointed(_leaves(spark, d).where("pos < 8"))
+    leaves = checkpointed(_leaves(spark, d))
     return B.advance(leaves, 3).select("round", "pos", "team", F.round("p", 6).alias("p"))
 
 
 def bracket_decided(spark: SparkSession, d: str) -> DataFrame:
-    leaves = checkpointed(_leaves(spark, d).where("pos < 8"))
-    w = leaves.where("pos = 0").select(F.col("team").alias("winner")).crossJoin(leaves.where("pos = 1").select(F.col("team").alias("loser")))
+    leaves = checkpointed(_leaves(spark, d))
+    # the first contest of every pair of neighbours is decided for the upper one
+    upper = leaves.where("pos % 2 = 0").select((F.col("pos") + 1).alias("pos"), F.col("team").alias("winner"))
+    w = upper.join(leaves.select("pos", F.col("team").alias("loser")), "pos").select("winner", "loser")
     return B.advance(leaves, 3, w).select("round", "pos", "team", F.round("p", 6).alias("p"))
 
 
 def predicted_winner(spark: SparkSession, d: str) -> DataFrame:
-    return B.predicted_winner(_leaves(spark, d).where("pos < 8"), 3)
+    return B.predicted_winner(_leaves(spark, d), 3)
 
 
 def round_names(spark: SparkSession, d: str) -> DataFrame:
@@ -169,8 +171,8 @@ _EDGES = f"""{WITH}, e as (select seq, season, me x, opp y, case when pf is not
 def _advance_sql(decided: bool) -> str:
     prob = "1 / (1 + pow(10.0::double, (b.rating - a.rating) / 400))"
     if decided:
-        prob = f"case when a.pos = 0 and b.pos = 1 then 1.0::double when a.pos = 1 and b.pos = 0 then 0.0::double else {prob} end"
-    out = "with r0 as (select cast(s_suppkey as int) pos, s_name team, s_acctbal rating, 1.0::double p from supplier where s_suppkey < 8)"
+        prob = f"case when a.pos % 2 = 0 and b.pos = a.pos + 1 then 1.0::double when a.pos % 2 = 1 and b.pos = a.pos - 1 then 0.0::double else {prob} end"
+    out = "with r0 as (select cast(s_suppkey as int) pos, s_name team, s_acctbal rating, 1.0::double p from supplier)"
     for r in (1, 2, 3):
         out += f""", r{r} as (select a.pos, a.team, a.rating, any_value(a.p) * sum(b.p * {prob}) p from r{r - 1} a join r{r - 1} b on (a.pos >> {r}) = (b.pos >> {r})
  and (a.pos >> {r - 1}) <> (b.pos >> {r - 1}) group by a.pos, a.team, a.rating)"""
@@ -181,7 +183,7 @@ def oracle_sql() -> dict[str, str]:
     scores = """count(*) n, round(avg(-(s * ln(least(1 - 1e-6, greatest(1e-6, p))) + (1 - s) * ln(1 - least(1 - 1e-6, greatest(1e-6, p))))), 6) log_loss, round(avg(pow(p - s, 2)), 6) brier,
  round(avg(case when s <> 0.5 and p <> 0.5 then ((p > 0.5) = (s > 0.5))::int end), 6) accuracy"""
     nodes = " union all ".join(
-        f"select {r} round, node, team from (select s_suppkey >> {r} node, s_name team, row_number() over (partition by s_suppkey >> {r} order by s_acctbal desc, s_suppkey) k from supplier where s_suppkey < 8) where k = 1"
+        f"select {r} round, node, team from (select s_suppkey >> {r} node, s_name team, row_number() over (partition by s_suppkey >> {r} order by s_acctbal desc, s_suppkey) k from supplier) where k = 1"
         for r in (1, 2, 3)
     )
     return {

@@ -115,8 +115,8 @@ def regular_runs(spark: SparkSession, d: str) -> DataFrame:
 
 def _kinds(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     t = _tokens(spark, d)
-    left = t.where("event_id % 3 = 0").select("page", F.col("event_id").alias("l_id"), F.col("pos").alias("l_pos"), F.col("ts").alias("l_ts"))
-    return left, t.where("event_id % 3 = 1").select("page", F.col("event_id").alias("r_id"), F.col("pos").alias("r_pos"), F.col("ts").alias("r_ts"))
+    left = t.where("event_type in ('click', 'view')").select("page", F.col("event_id").alias("l_id"), F.col("pos").alias("l_pos"), F.col("ts").alias("l_ts"))
+    return left, t.where("event_type not in ('click', 'view')").select("page", F.col("event_id").alias("r_id"), F.col("pos").alias("r_pos"), F.col("ts").alias("r_ts"))
 
 
 def band_join(spark: SparkSession, d: str) -> DataFrame:
@@ -193,7 +193,7 @@ def queries() -> dict:
     )}
 
 
-_T = "t as (select user_id page, event_id, value pos, ts from events where value is not null), l as (select page, event_id l_id, pos l_pos, ts l_ts from t where event_id % 3 = 0), r as (select page, event_id r_id, pos r_pos, ts r_ts from t where event_id % 3 = 1)"
+_T = "t as (select user_id page, event_id, value pos, ts, event_type from events where value is not null), l as (select page, event_id l_id, pos l_pos, ts l_ts from t where event_type in ('click', 'view')), r as (select page, event_id r_id, pos r_pos, ts r_ts from t where event_type not in ('click', 'view'))"
 
 
 def oracle_sql() -> dict[str, str]:
