@@ -160,6 +160,35 @@ def test_survivors(spark):
     assert (whole[0].score_seq, whole[0].winner_seq) == (1, 3)
 
 
+def test_survivors_take_corrections_and_other_spellings(spark):
+    rows = [
+        match(1, "甲鳳池", "乙青里", "1", "0", day=1, doc="d1.pdf"), match(2, "乙青里", "甲鳳池", "0", "1", day=2, doc="d2.pdf", winner="甲鳳池", note="長い備考"),
+        match(3, "甲鳳池", "丙笹農", "2", "1", day=1, doc="d3.pdf", winner="都立丙笹農高校"), match(4, "甲鳳池", "丙笹農", "2", "1", day=2, doc="d3.pdf", winner="別の学校"),
+        match(5, "乙青里", "丙笹農", "1", "1", day=1, doc="d4.pdf", winner="丙笹農"), match(6, "乙青里", "丙笹農", "1", "1", day=2, doc="d4.pdf", winner="乙青里"),
+    ]
+    m = spark.createDataFrame(rows, MATCHES)
+    clusters = spark.createDataFrame([(x, x) for x in ("甲鳳池", "乙青里", "丙笹農")], "name string, cluster string")
+    with_s = survivor.with_schools(m, clusters)
+    groups = survivor.groups_of(with_s)
+    corr = spark.createDataFrame(
+        [(10, "d2", "乙青里", "甲鳳池", "score1", "4", None), (11, "d2", "乙青里", "甲鳳池", "notes", "x", None), (12, "d4", "丙笹農", "乙青里", "pk1", "5", None), (13, "d4", "丙笹農", "乙青里", "pk2", "3", None),
+         (14, "d1", "甲鳳池", "乙青里", "winner_slot", "2", None)],
+        "corr_seq bigint, file string, team1 string, team2 string, field string, value string, reason string",
+    )
+    fixed = survivor.corrections_of(with_s, groups, corr, clusters)
+    got = {r.first_seq: r for r in survivor.survivors(with_s, groups, fixed, clusters).collect()}
+    # 乙青里 has four goals now, so no recorded winner can stay, and the corrected one does
+    assert (got[1].score_origin, got[1].score_seq, got[1].score_base) == ("corrections", 10, 2)
+    assert (got[1].remark_origin, got[1].remark_seq) == ("corrections", 11)
+    assert (got[1].winner_origin, got[1].winner_seq) == ("corrections", 14)
+    # both winners are spelt otherwise: one contradicts the score, one is neither school
+    assert (got[3].score_origin, got[3].score_seq, got[3].winner_seq) == ("matches", 4, None)
+    # the corrected penalties decide between the recorded winners
+    assert (got[5].score_origin, got[5].score_seq, got[5].winner_origin, got[5].winner_seq) == ("corrections", 13, "matches", 5)
+    free = {r.first_seq: r for r in survivor.survivors(with_s, groups, fixed, clusters, bound=False).collect()}
+    assert (free[1].score_seq, free[5].score_origin, free[5].score_seq) == (10, "matches", 6)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.tuples(st.integers(1, 9), st.sampled_from(["x", "y", None])), max_size=4), min_size=1, max_size=4))
 def test_best_choice_is_best(bundles):
