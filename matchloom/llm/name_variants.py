@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 from pyspark.sql import types as T
 
 from ..session import checkpointed
@@ -163,11 +164,13 @@ def scored_pairs(names: DataFrame, pairs: DataFrame, shared: DataFrame) -> DataF
     return full.mapInPandas(run, "a string, b string, s double")
 
 
-def average_linkage(weights: DataFrame, pairs: DataFrame, threshold: float = LINK, max_rounds: int = 60) -> DataFrame:
-    """(name, cluster) by record-weighted average linkage over sparse similarities.
+def average_linkage(weights: DataFrame, pairs: DataFrame, threshold: float = LINK) -> DataFrame:
+    """(name, cluster) by record-weighted average linkage over sparse similarities, until no pair reaches the threshold.
 
     weights: (name, n); pairs: (a, b, s), a < b, absent pairs count as 0. The cluster is named by its member with the
-    most records (ties: the smaller name) among those merged last.
+    most records (ties: the smaller name) among those merged last. A round merges all pairs that are each other's best, and with such a pair
+    all clusters that are as near to the larger one, to the smaller one and to each other: merging them one by one would
+    change none of their means, so that a school in many equal spellings takes one round, not one for each.
     """
     w = weights.select("name", F.col("n").cast("double").alias("n"))
     member = w.select("name", F.col("name").alias("cluster"))
@@ -179,7 +182,16 @@ def average_linkage(weights: DataFrame, pairs: DataFrame, threshold: float = LIN
     edges = checkpointed(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "mass")))
     sizes = checkpointed(w.select(F.col("name").alias("c"), "n").join(edges.select(F.col("a").alias("c")).distinct(), "c"))
     steps: list[DataFrame] = []
-    for _ in range(max_rounds):
+
+    def followed(member: DataFrame) -> DataFrame:
+        """member after the moves of the steps, in their order."""
+        for step in steps:
+            member = (
+                member.join(step.withColumnRenamed("old", "cluster"), "cluster", "left").select("name", F.coalesce("new", "cluster").alias("cluster"))
+            )
+        return member
+
+    while True:
         # neighbours by mean similarity; ties to the smaller name on both sides
         near = (
             edges.join(sizes.select(F.col("c").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("c").alias("b"), F.col("n").alias("nb")), "b")
@@ -190,27 +202,41 @@ def average_linkage(weights: DataFrame, pairs: DataFrame, threshold: float = LIN
             F.round("mean", 9).alias("mean"), F.greatest("na", "nb").alias("hi"), F.least("na", "nb").alias("lo"),
             F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y"),
         )
-        best = near.groupBy("a").agg(F.max_by(F.struct("b", "na", "nb"), key).alias("to")).select("a", "to.b", "to.na", "to.nb")
+        level = F.round("mean", 9)
+        best = checkpointed(
+            near.groupBy("a").agg(F.max_by(F.struct("b", "na", "nb", level.alias("level")), key).alias("to")).select("a", "to.b", "to.na", "to.nb", "to.level")
+        )
         other = best.select(F.col("a").alias("b"), F.col("b").alias("a"))
         mutual = best.join(other, ["a", "b"], "left_semi")
         # the smaller cluster moves into the larger
-        step = checkpointed(
-            mutual.where((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") > F.col("b")))).select(
-                F.col("a").alias("old"), F.col("b").alias("new"), F.col("na").alias("moved")
-            )
+        moves = mutual.where((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") > F.col("b")))).select(
+            F.col("a").alias("old"), F.col("b").alias("new"), F.col("level")
         )
+        # others whose best partner is the larger one too, at the same mean
+        also = best.join(moves.select(F.col("new").alias("b"), "level", "old"), ["b", "level"]).where("a <> old").select("a", F.col("b").alias("new"), "level", "old")
+        step = moves.select("old", "new")
+        if not also.isEmpty():
+            star = also.select("a", "new", "level", "old").unionByName(moves.select(F.col("old").alias("a"), "new", "level", "old"))
+            equal = (
+                near.select("a", "b", level.alias("level"))
+                .join(star, ["a", "level"])
+                .join(star.select(F.col("a").alias("b"), "new"), ["b", "new"])
+                .withColumn("b_near", F.max(F.col("a") == F.col("old")).over(Window.partitionBy("new", "b")))
+            )
+            ties = equal.where("a <> old").groupBy("new", "a").agg(F.max(F.col("b") == F.col("old")).alias("a_near"), F.count_if((F.col("b") != F.col("old")) & F.col("b_near")).alias("ties"))
+            whole = ties.where("a_near").withColumn("size", F.count("*").over(Window.partitionBy("new"))).where("ties = size - 1")
+            step = step.unionByName(whole.select(F.col("a").alias("old"), "new"))
+        step = checkpointed(step)
         if step.isEmpty():
             break
-        steps.append(step.select("old", "new"))
+        steps.append(step)
+        if len(steps) == 10:  # else the plan grows with the rounds
+            member = checkpointed(followed(member))
+            steps.clear()
         ren = lambda df, c: df.join(step.select(F.col("old").alias(c), F.col("new").alias(f"_{c}")), c, "left").withColumn(c, F.coalesce(f"_{c}", c)).drop(f"_{c}")
         edges = checkpointed(ren(ren(edges, "a"), "b").where("a <> b").groupBy("a", "b").agg(F.sum("mass").alias("mass")))
         sizes = checkpointed(ren(sizes, "c").groupBy("c").agg(F.sum("n").alias("n")))
-    # follow the moves of all rounds in their order
-    for step in steps:
-        member = (
-            member.join(step.withColumnRenamed("old", "cluster"), "cluster", "left").select("name", F.coalesce("new", "cluster").alias("cluster"))
-        )
-    return member
+    return followed(member)
 
 
 def school_clusters(matches: DataFrame, cosine: float = COSINE, threshold: float = LINK) -> DataFrame:

@@ -134,6 +134,14 @@ def test_average_linkage_against_brute_force(spark):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, clusters.values()))
 
 
+def test_average_linkage_of_many_equal_spellings(spark):
+    names = [f"n{i:02d}" for i in range(70)]
+    w = spark.createDataFrame([(x, 100 - i) for i, x in enumerate(names)] + [("odd", 5)], "name string, n int")
+    p = [(a, b, 0.97) for i, a in enumerate(names) for b in names[i + 1 :]] + [("n00", "odd", 0.97)]  # odd is near the largest only
+    got = {r.name: r.cluster for r in name_variants.average_linkage(w, spark.createDataFrame(p, "a string, b string, s double"), 0.4).collect()}
+    assert {got[x] for x in names} == {"n00"} and got["odd"] == "odd"
+
+
 # --- problem 3
 
 
