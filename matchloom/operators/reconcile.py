@@ -87,15 +87,25 @@ def fill_missing(g: DataFrame, external: DataFrame) -> DataFrame:
     return c.select("seq", out.alias("outcome"), F.when(out == "filled", F.col("s.x")).alias("fill_a"), F.when(out == "filled", F.col("s.y")).alias("fill_b"))
 
 
+CORRECTABLE = ("score1", "score2", "pk1", "pk2", "winner_slot", "notes")
+
+
 def apply_corrections(g: DataFrame, corrections: DataFrame) -> DataFrame:
-    """Corrections by document and the two printed names, the latest per field, pivoted onto the rows."""
+    """Corrections by document and the two printed names, the latest per field, pivoted onto the rows.
+
+    slot is the corrected, else the printed winner's; `fields` names the fields a correction was found for.
+    """
     c = corrections.groupBy(F.regexp_replace(F.lower("file"), r"\.pdf$", "").alias("d"), F.col("team1").alias("raw_a"), F.col("team2").alias("raw_b"))
-    wide = c.agg(*[F.max_by("value", F.when(F.col("field") == f, F.col("corr_seq"))).alias(f"c_{f}") for f in ("score1", "score2", "notes")])
+    wide = c.agg(*[F.max_by("value", F.when(F.col("field") == f, F.col("corr_seq"))).alias(f"c_{f}") for f in CORRECTABLE])
     keyed = g.withColumn("d", F.regexp_replace(F.lower("doc"), r"\.pdf$", ""))
     j = keyed.join(wide, ["d", "raw_a", "raw_b"], "left")
+    number = lambda f, c: F.coalesce(F.col(f"c_{f}").try_cast("int"), c).alias(c)
+    printed = F.when(F.col("winner") == F.col("raw_a"), 1).when(F.col("winner") == F.col("raw_b"), 2)
+    slot = F.col("c_winner_slot").try_cast("int")
+    fields = F.array_compact(F.array(*[F.when(F.col(f"c_{f}").isNotNull(), F.lit(f)) for f in CORRECTABLE]))
     return j.select(
-        "seq", F.coalesce(F.col("c_score1").try_cast("int"), "sa").alias("sa"), F.coalesce(F.col("c_score2").try_cast("int"), "sb").alias("sb"),
-        F.coalesce("c_notes", "note").alias("note"), F.coalesce(F.col("c_score1"), F.col("c_score2"), F.col("c_notes")).isNotNull().alias("corrected"),
+        "seq", number("score1", "sa"), number("score2", "sb"), number("pk1", "pa"), number("pk2", "pb"), F.when(slot.isin(1, 2), slot).otherwise(printed).alias("slot"),
+        F.coalesce("c_notes", "note").alias("note"), (F.size(fields) > 0).alias("corrected"), fields.alias("fields"),
     )
 
 

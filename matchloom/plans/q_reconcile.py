@@ -60,6 +60,13 @@ def fill_counters(spark: SparkSession, d: str) -> DataFrame:
 
 
 def apply_corrections(spark: SparkSession, d: str) -> DataFrame:
+    """The part that the SQL has: both scores and the note; `corrected` says whether one of these was."""
+    c = R.apply_corrections(_g(spark, d), table(spark, d, "corrections"))
+    return c.select("seq", "sa", "sb", "note", F.arrays_overlap("fields", F.array(F.lit("score1"), F.lit("score2"), F.lit("notes"))).alias("corrected"))
+
+
+def corrected_contests(spark: SparkSession, d: str) -> DataFrame:
+    """Contests with all six correctable fields applied."""
     return R.apply_corrections(_g(spark, d), table(spark, d, "corrections"))
 
 
@@ -123,7 +130,7 @@ def cross_source_agreement(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict:
     return {f.__name__: f for f in (
-        version_dedup, version_dedup_dropped, multifeed_merge, multifeed_dropped, feed_union_counts, bogus_retraction, fill_missing, fill_counters, apply_corrections,
+        version_dedup, version_dedup_dropped, multifeed_merge, multifeed_dropped, feed_union_counts, bogus_retraction, fill_missing, fill_counters, apply_corrections, corrected_contests,
         infer_winner, name_conflicts, newest_publication, surrogate_ids, match_ids, status_codes, check_problems, fk_anti, run_difference, cross_source_agreement,
     )}
 

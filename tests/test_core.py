@@ -260,3 +260,13 @@ def test_streaming_equals_batch(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("running").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck")).start()
     q.awaitTermination(60)
     assert {r.team: (r.played, r.points) for r in spark.table("running").collect()} == {"甲": (2, 6), "乙": (2, 1), "丙": (2, 1)}
+
+
+def test_corrections_of_all_fields(spark):
+    g = frame(spark, game(1, "甲", "乙", 1, 1, winner="甲", pa=3, pb=4, doc="D.pdf"), game(2, "甲", "丙", 2, 0, winner="丙"), game(3, "乙", "丙", 1, 0))
+    corr = [(1, "d", "甲", "乙", "pk1", "5"), (2, "d", "甲", "乙", "pk2", "9"), (3, "d", "甲", "乙", "pk2", "6"), (4, "d", "甲", "乙", "winner_slot", "2"), (5, "d", "甲", "丙", "winner_slot", "?")]
+    c = spark.createDataFrame(corr, "corr_seq bigint, file string, team1 string, team2 string, field string, value string")
+    got = {r.seq: (r.sa, r.sb, r.pa, r.pb, r.slot, r.corrected, r.fields) for r in R.apply_corrections(g, c).collect()}
+    assert got[1] == (1, 1, 5, 6, 2, True, ["pk1", "pk2", "winner_slot"])
+    assert got[2] == (2, 0, None, None, 2, True, ["winner_slot"])
+    assert got[3] == (1, 0, None, None, None, False, [])
