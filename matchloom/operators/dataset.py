@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.names import normalize
 from ..plans.ranking import global_rank
 from . import reconcile as R
 from .perspective import both_sides
@@ -45,7 +46,7 @@ def provenance(g: DataFrame) -> DataFrame:
 
 
 def collisions(g: DataFrame) -> DataFrame:
-    """Contests recorded more than once whose oriented scores or winners disagree: they stop an export."""
+    """Contests whose copies with both scores disagree in the oriented scores (collisions_full compares all)."""
     p = provenance(g)
     me = g.select("seq", "a", "sa", "sb")
     flip = F.col("flipped")
@@ -53,6 +54,24 @@ def collisions(g: DataFrame) -> DataFrame:
     return o.where("x is not null and y is not null").groupBy("survivor").agg(F.count_distinct("x", "y").alias("scores"), F.count("*").alias("rows")).where("scores > 1")
 
 
+def collisions_full(g: DataFrame) -> DataFrame:
+    """Contests recorded more than once whose oriented scores, penalties, winners or states disagree: they stop an
+    export. A missing value differs from a present one. The winner is compared by school, as it is not always written
+    as its side is; a winner that is neither side stays as it is cleaned.
+    """
+    p = provenance(g)
+    copies = p.join(p.groupBy("survivor").agg(F.count("*").alias("rows")).where("rows > 1"), "survivor").select("survivor", "rows", "seq", "flipped")
+    o = copies.join(g.select("seq", "a", "b", "raw_a", "raw_b", "sa", "sb", "pa", "pb", "winner", "status"), "seq")
+    exact = F.when(F.col("winner") == F.col("raw_a"), F.col("a")).when(F.col("winner") == F.col("raw_b"), F.col("b"))
+    o = o.withColumn("exact", exact).withColumn("clean", normalize(F.when(F.col("exact").isNull(), F.col("winner"))))
+    turned = lambda x, y: F.when(F.col("flipped"), F.col(y)).otherwise(F.col(x))
+    score = F.struct(turned("sa", "sb").alias("x"), turned("sb", "sa").alias("y"))
+    kicks = F.struct(turned("pa", "pb").alias("x"), turned("pb", "pa").alias("y"))
+    t = o.select("survivor", "rows", score.alias("score"), kicks.alias("kicks"), F.struct(F.coalesce("exact", "clean").alias("w")).alias("won"), F.struct("status").alias("state"))
+    n = t.groupBy("survivor", "rows").agg(*[F.count_distinct(c).alias(k) for c, k in (("score", "scores"), ("kicks", "penalties"), ("won", "winners"), ("state", "states"))])
+    return n.where("scores > 1 or penalties > 1 or winners > 1 or states > 1").select("survivor", "scores", "penalties", "winners", "states", "rows")
+
+
 def merge_problems(merges: DataFrame, known: DataFrame) -> DataFrame:
     """Merges (variant, canonical) that point at themselves, form chains, repeat a variant or name unknown schools."""
     m = merges.select("variant", "canonical")

@@ -158,7 +158,7 @@ def status_codes(g: DataFrame) -> DataFrame:
 
 
 def check_problems(g: DataFrame, roster: DataFrame) -> DataFrame:
-    """Q1-Q6, Q11: (check_id, key, problems) of every check that fails."""
+    """Q1-Q5: (check_id, key, problems) of every check that fails; check_report adds Q6 and the messages."""
     side = both_sides(g)
     won = F.when(F.col("winner") == F.col("raw_a"), 1).when(F.col("winner") == F.col("raw_b"), 2)
     by = F.when(F.col("sa") > F.col("sb"), 1).when(F.col("sa") < F.col("sb"), 2).when(F.col("pa") > F.col("pb"), 1).when(F.col("pa") < F.col("pb"), 2)
@@ -177,6 +177,29 @@ def check_problems(g: DataFrame, roster: DataFrame) -> DataFrame:
     return out
 
 
+MESSAGES = {
+    "Q1": "recorded more than once", "Q2": "school not in the roster", "Q3": "played without both scores, or the winner contradicts the score",
+    "Q4": "more contests than a bracket of these sides has", "Q5": "side more than once in a round", "Q6": "printed name neither registered nor exempt",
+}
+
+
+def check_report(g: DataFrame, roster: DataFrame) -> DataFrame:
+    """Q1-Q6, Q11: (check_id, key, problems, message) of every check that fails.
+
+    Q6: a printed name is registered if it or its normalised name is in the roster; those of more than one school (D8)
+    are the known issues and exempt.
+    """
+    sides = [g.select(F.col(f"raw_{k}").alias("raw"), F.col(k).alias("me")).where(f"raw_{k} is not null") for k in "ab"]
+    raw = sides[0].unionByName(sides[1])
+    known = roster.select("key").where("key is not null").distinct()
+    registered = raw.join(known.withColumnRenamed("key", "me"), "me", "left_semi").select("raw").unionByName(known.select(F.col("key").alias("raw"))).distinct()
+    exempt = name_conflicts(g).select("raw")
+    q6 = raw.join(registered, "raw", "left_anti").join(exempt, "raw", "left_anti").groupBy(F.col("raw").alias("key")).agg(F.count("*").alias("problems"))
+    full = check_problems(g, roster).unionByName(q6.select(F.lit("Q6").alias("check_id"), "key", "problems"))
+    text = F.create_map(*[F.lit(x) for kv in MESSAGES.items() for x in kv])
+    return full.withColumn("message", F.format_string("%s: %s (%d)", F.coalesce("key", F.lit("-")), text[F.col("check_id")], "problems"))
+
+
 def run_difference(left: DataFrame, right: DataFrame) -> DataFrame:
     """Q10: rows of either run that the other lacks, with multiplicity."""
     return left.exceptAll(right).withColumn("side", F.lit("only left")).unionByName(right.exceptAll(left).withColumn("side", F.lit("only right")))

@@ -44,6 +44,11 @@ def collisions(spark: SparkSession, d: str) -> DataFrame:
     return D.collisions(_g(spark, d))
 
 
+def collisions_full(spark: SparkSession, d: str) -> DataFrame:
+    """Copies that disagree in anything an export compares."""
+    return D.collisions_full(_g(spark, d))
+
+
 def merge_problems(spark: SparkSession, d: str) -> DataFrame:
     m = spark.createDataFrame(MERGES, "variant string, canonical string")
     return D.merge_problems(m, spark.createDataFrame([("甲",), ("丙",), ("丁",)], "name string"))
@@ -196,7 +201,7 @@ def json_report(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict:
     return {f.__name__: f for f in (
-        competitions, source_registry, provenance, collisions, merge_problems, merged_names, school_attributes, star_view, legacy_round_trip, meeting_probability, alive,
+        competitions, source_registry, provenance, collisions, collisions_full, merge_problems, merged_names, school_attributes, star_view, legacy_round_trip, meeting_probability, alive,
         summary_with_unknowns, cup_and_league, season_record, band_split, versus, thin_guard, exempted_problems, first_stage_seen, reach_text, reason_tags, side_class,
         content_hash, half_scores, json_report,
     )}

@@ -103,6 +103,11 @@ def check_problems(spark: SparkSession, d: str) -> DataFrame:
     return R.check_problems(_g(spark, d), table(spark, d, "school_roster"))
 
 
+def check_report(spark: SparkSession, d: str) -> DataFrame:
+    """Q1-Q6, Q11: every check that fails with its message."""
+    return R.check_report(_g(spark, d), table(spark, d, "school_roster"))
+
+
 def fk_anti(spark: SparkSession, d: str) -> DataFrame:
     """Q2: documents whose source is not registered, orders without customer, lines without order."""
     t = lambda n: table(spark, d, n)
@@ -131,7 +136,7 @@ def cross_source_agreement(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict:
     return {f.__name__: f for f in (
         version_dedup, version_dedup_dropped, multifeed_merge, multifeed_dropped, feed_union_counts, bogus_retraction, fill_missing, fill_counters, apply_corrections, corrected_contests,
-        infer_winner, name_conflicts, newest_publication, surrogate_ids, match_ids, status_codes, check_problems, fk_anti, run_difference, cross_source_agreement,
+        infer_winner, name_conflicts, newest_publication, surrogate_ids, match_ids, status_codes, check_problems, check_report, fk_anti, run_difference, cross_source_agreement,
     )}
 
 
