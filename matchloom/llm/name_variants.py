@@ -2,15 +2,23 @@
 
 1. Distinct names with their numbers of records and their spread over areas: one pre-aggregated groupBy.
 2. Character n-gram vectors (gapped, order-free, so that swapped and missing characters leave something in common),
-   weighted by inverse frequency; a sparse cosine self-join over the inverted index keeps every pair at or above the
-   threshold. There is no top-n cut: every pair above the threshold stays.
-3. An exact check of each pair: the relation of the two spellings (`school_names.compare`), the agreement of their
-   areas, and how often records of one contest carry both. It turns the pair into a similarity in [0, 1].
+   weighted by inverse frequency; a sparse cosine self-join keeps every pair at or above the threshold. A name is indexed
+   only under its rarest n-grams, as many as its length outside them exceeds the threshold: two names that share none of
+   these cannot reach it, so the join is exact and frequent n-grams pair nobody. There is no top-n cut: every pair above
+   the threshold stays, which holds the n nearest of each name for any n.
+3. Each pair's weight for the linkage is a calibrated function of its cosine, how much smaller the rarer name is, which
+   characters are replaced and how often they are elsewhere, the agreement of their areas, and the share of the rarer
+   name's records for which another copy of the same contest sheet carries the other name. The function is a logistic
+   regression fitted here on weak labels: pairs that share contest sheets against pairs of far areas or that played each
+   other. All quantities are shares or relative to the median name, so that the same table counted ten times gives the
+   same links. An exact check (`school_names.compare`) then takes out pairs that no single slip explains.
 4. Average-linkage clustering in which every record counts: the similarity of two clusters is the mean over all pairs
    of their records. Mutual best pairs of clusters merge in rounds (average linkage is reducible, so merging them at
    once gives the same tree as one at a time) until no pair reaches the threshold. Each round is a few joins over the
    remaining cluster pairs; nothing is collected.
 
+The regression sees at most `SAMPLE` labelled pairs, chosen by hash; every count, rate and weight covers all data.
+
 Results for odd input: null names are left out; names without any n-gram form classes of their own; ties between
 merges go to the smaller name; repeated rows only raise a name's weight.
 """
@@ -19,18 +27,22 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from pyspark.sql import types as T
 
 from ..session import checkpointed
-from . import school_names
+from . import logistic, school_names
 
-COSINE = 0.1  # least cosine of two vectors to be looked at
+COSINE = 0.15  # least cosine of two vectors to be looked at
 LINK = 0.35  # least mean similarity of two clusters to merge
 AREAS = 9  # 第1地区 .. 第9地区
+SAMPLE = 40_000  # most labelled pairs that fit one regression
+RATE = 0.01  # least share of the rarer name's records with a copy under the other name, for the two to share sheets
+TYPICAL = 0.05  # the usual share among spellings of one school
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -55,113 +67,155 @@ def names_of(matches: DataFrame) -> DataFrame:
 def shared_contests(matches: DataFrame) -> DataFrame:
     """(a, b, shared), a < b: how often two rows of one contest sheet differ in this name only.
 
-    Rows of one contest agree in season, series, stage, page, round and column, and in area, block and number where
-    both have them; the other side is the same after folding.
+    Rows of one contest agree in season, series, stage, page, round, column and document, and in area, block and number
+    where both have them; a row without a document meets those of any. The other side is the same. All but the name is
+    compared by 64-bit hashes, and the keyed records are written once for both joins.
     """
     stem = F.regexp_replace(F.regexp_replace("出典PDF", r"\.[A-Za-z]+$", ""), r"^matome_", "")
-    stem = F.coalesce(F.regexp_extract(stem, r"^([a-z]+\d+_[a-z]+_\d+)", 1), F.lit(""))
-    keys = ["年度", "大会", "段階", "ページ", "ラウンド", "列"]
-    base = matches.select(
-        *keys, "試合番号", "ブロック", F.col("地区・支部").alias("地区"), stem.alias("stem"), "チームA_正規化", "チームB_正規化"
-    ).where("`チームA_正規化` is not null and `チームB_正規化` is not null")
-    cols = [*keys, "試合番号", "ブロック", "地区", "stem"]
-    both = base.select(*cols, F.col("チームA_正規化").alias("name"), F.col("チームB_正規化").alias("other")).unionByName(
-        base.select(*cols, F.col("チームB_正規化").alias("name"), F.col("チームA_正規化").alias("other"))
-    )
-    keyed = both.withColumn("other", F.xxhash64("other")).distinct()
-    left = keyed.alias("l")
-    right = keyed.alias("r")
-    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
-    cond = F.col("l.other") == F.col("r.other")
-    for c in same:
-        cond &= c
-    agree = F.lit(True)
-    for c in ("試合番号", "ブロック", "地区"):
-        agree &= F.coalesce(F.col(f"l.{c}") == F.col(f"r.{c}"), F.lit(True))
-    agree &= (F.col("l.stem") == F.col("r.stem")) | (F.col("l.stem") == "") | (F.col("r.stem") == "")
-    pairs = left.join(right, cond & (F.col("l.name") < F.col("r.name")) & agree)
-    return pairs.groupBy(F.col("l.name").alias("a"), F.col("r.name").alias("b")).agg(F.count("*").cast("int").alias("shared"))
+    stem = F.nullif(F.regexp_extract(stem, r"^([a-z]+\d+_[a-z]+_\d+)", 1), F.lit(""))
+    hashed = lambda c, name: F.when(c.isNotNull(), F.xxhash64(c)).alias(name)
+    loose = {"試合番号": "no", "ブロック": "block", "地区・支部": "area"}
+    key = ["年度", "大会", "段階", "ページ", "ラウンド", "列"]
+    absent = F.concat_ws("", *[F.col(f"`{c}`").isNull().cast("int").cast("string") for c in key])  # a null differs from ''
+    sides = []
+    for name, other in (("チームA_正規化", "チームB_正規化"), ("チームB_正規化", "チームA_正規化")):
+        sides.append(matches.where(F.col(name).isNotNull() & F.col(other).isNotNull()).select(
+            F.xxhash64(*key, absent, F.col(other)).alias("k"), hashed(stem, "doc"), *[hashed(F.col(f"`{c}`"), n) for c, n in loose.items()], F.col(name).alias("name")
+        ))
+    keyed = checkpointed(sides[0].unionByName(sides[1]).distinct())
+    agree = "coalesce(l.no = r.no, true) and coalesce(l.block = r.block, true) and coalesce(l.area = r.area, true)"
+    out = [F.least("l.name", "r.name").alias("a"), F.greatest("l.name", "r.name").alias("b")]
+    known, without = keyed.where("doc is not null"), keyed.where("doc is null")
+    pairs = known.alias("l").join(known.alias("r"), F.expr(f"l.k = r.k and l.doc = r.doc and l.name < r.name and {agree}")).select(*out)
+    mixed = without.alias("l").join(known.alias("r"), F.expr(f"l.k = r.k and l.name <> r.name and {agree}")).select(*out)
+    loose_ = without.alias("l").join(without.alias("r"), F.expr(f"l.k = r.k and l.name < r.name and {agree}")).select(*out)
+    return pairs.unionByName(mixed).unionByName(loose_).groupBy("a", "b").agg(F.count("*").cast("int").alias("shared"))
+
+
+def met_pairs(matches: DataFrame) -> DataFrame:
+    """(a, b), a < b: names that played each other."""
+    a, b = F.col("チームA_正規化"), F.col("チームB_正規化")
+    return matches.where(a != b).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
 
 def cosine_pairs(names: DataFrame, least: float = COSINE, grams=_grams) -> DataFrame:
     """(a, b, cosine), a < b, of all names whose weighted n-gram vectors reach the cosine."""
     long = names.select("name", F.explode(grams("name")).alias("g"))
-    idf = long.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
+    idf = long.groupBy("g").agg(F.count("*").alias("df"))
     total = names.agg(F.count("*").alias("total"))
-    weighted = long.join(idf, "g").crossJoin(F.broadcast(total)).select("name", "g", F.log(1 + F.col("total") / F.col("df")).alias("w"))
-    # grams of one name only still belong to its length
-    alone = long.join(idf, "g", "left_anti").crossJoin(F.broadcast(total)).groupBy("name").agg(F.sum(F.pow(F.log(1 + F.col("total")), 2)).alias("rest"))
-    norms = (
-        weighted.groupBy("name").agg(F.sum(F.col("w") * F.col("w")).alias("sq")).join(alone, "name", "left")
-        .select("name", F.sqrt(F.col("sq") + F.coalesce("rest", F.lit(0.0))).alias("norm"))
-    )
-    unit = weighted.join(norms, "name").select("name", "g", (F.col("w") / F.col("norm")).alias("w"))
-    l, r = unit.alias("l"), unit.alias("r")
-    return (
-        l.join(r, (F.col("l.g") == F.col("r.g")) & (F.col("l.name") < F.col("r.name")))
-        .groupBy(F.col("l.name").alias("a"), F.col("r.name").alias("b"))
-        .agg(F.sum(F.col("l.w") * F.col("r.w")).alias("cosine"))
-        .where(F.col("cosine") >= least)
-    )
-
-
-def area_agreement(big: list[int], small: list[int]) -> float | None:
-    """How well the smaller name's records lie where the larger one's do: 1 when they are spread alike."""
-    total, own = sum(small), sum(b * b for b in big)
-    if not total or not own:
-        return None
-    return min(1.0, sum(s * b for s, b in zip(small, big, strict=True)) * sum(big) / (total * own))
-
-
-def similarity(a: str, b: str, na: int, nb: int, areas_a: list[int], areas_b: list[int], shared: int) -> float:
-    """The exact check: similarity of two spellings in [0, 1], 0 where they cannot be one school."""
-    rel, length = school_names.compare(a, b)
-    if rel is None:
-        return 0.0
-    if (na, a) < (nb, b):
-        na, nb, areas_a, areas_b = nb, na, areas_b, areas_a
-    agree = area_agreement(areas_a, areas_b)
-    known = sum(areas_b)
-    least = 0.03 if known <= 1 else 0.3 if known <= 3 else 0.5
-    if agree is not None and agree < least:
-        return 0.0
-    ratio = nb / na
-    if rel == "same":
-        return 0.97
-    if rel == "suffix":
-        return 0.9 if shared else 0.75 if ratio < 0.6 else 0.4
-    if shared:
-        enough = shared >= 0.01 * nb
-        return (0.9 if shared > 1 else 0.8) if enough else 0.3
-    if rel == "swap":
-        return 0.7 if ratio < 0.6 and nb < 100 else 0.3
-    if nb >= 45 or ratio > 0.42:  # that many records of a variant would share a contest with the usual spelling
-        return 0.0
-    if rel == "drop":
-        return 0.65 if length > 2 else 0.5
-    if agree is None:
-        return 0.4 if length > 2 and nb < 10 else 0.0
-    return 0.6 if length > 2 else 0.5 if nb < 12 else 0.0
-
-
-_SCORE_IN = ["a", "b", "na", "nb", "areas_a", "areas_b", "shared"]
-
-
-def scored_pairs(names: DataFrame, pairs: DataFrame, shared: DataFrame) -> DataFrame:
-    """(a, b, s) with s > 0 for the candidate pairs."""
+    weighted = long.join(idf, "g").crossJoin(F.broadcast(total)).select("name", "g", "df", F.log(1 + F.col("total") / F.col("df")).alias("w"))
+    by_name = Window.partitionBy("name")
+    unit = weighted.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(by_name)))
+    # what a vector weighs from here on, in the order from rare to frequent: under the threshold no partner can be missed
+    rest = F.sum(F.col("w") * F.col("w")).over(by_name.orderBy(F.col("df").desc(), F.col("g").desc()).rowsBetween(Window.unboundedPreceding, 0))
+    unit = checkpointed(unit.withColumn("rest", rest))
+    index = unit.where((F.col("df") > 1) & (F.sqrt("rest") >= least - 1e-9)).select("name", "g")
+    l, r = index.alias("l"), index.alias("r")
+    met = l.join(r, (F.col("l.g") == F.col("r.g")) & (F.col("l.name") < F.col("r.name"))).select(F.col("l.name").alias("a"), F.col("r.name").alias("b")).distinct()
+    vector = unit.where("df > 1").groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("g", "w"))).alias("v"))
+    both = met.join(vector.toDF("a", "va"), "a").join(vector.toDF("b", "vb"), "b")
+    dot = F.expr("aggregate(map_entries(va), 0d, (s, x) -> s + x.value * coalesce(try_element_at(vb, x.key), 0d))")
+    return both.select("a", "b", dot.alias("cosine")).where(F.col("cosine") >= least)
+
+
+def area_agreement(big: np.ndarray, small: np.ndarray) -> np.ndarray:
+    """How well the smaller names' records lie where the larger ones' do, by row: 1 when they are spread alike, NaN where
+    the areas are unknown."""
+    total, own = small.sum(axis=1), (big * big).sum(axis=1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.where((total > 0) & (own > 0), np.minimum(1.0, (small * big).sum(axis=1) * big.sum(axis=1) / (total * own)), np.nan)
+
+
+_IN = ["a", "b", "na", "nb", "areas_a", "areas_b", "cosine", "shared", "met"]
+_OUT = "a string, b string, lo int, hi int, kind string, length int, replaced string, cosine double, shared int, met boolean, agree double"
+
+
+def described_pairs(names: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b, cosine, shared, met) with their sizes, relation and agreement of areas."""
     left = names.select(F.col("name").alias("a"), F.col("n").alias("na"), F.col("areas").alias("areas_a"))
     right = names.select(F.col("name").alias("b"), F.col("n").alias("nb"), F.col("areas").alias("areas_b"))
-    full = pairs.select("a", "b").join(shared, ["a", "b"], "left").join(left, "a").join(right, "b").select(*_SCORE_IN)
+    full = pairs.join(left, "a").join(right, "b").select(*_IN)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            f["s"] = [
-                similarity(a, b, na, nb, list(aa), list(ab), 0 if pd.isna(sh) else int(sh))
-                for a, b, na, nb, aa, ab, sh in f[_SCORE_IN].itertuples(index=False)
-            ]
-            yield f.loc[f.s > 0, ["a", "b", "s"]]
-
-    return full.mapInPandas(run, "a string, b string, s double")
+            if not len(f):
+                continue
+            a, b = (np.array(f[c].tolist(), float).reshape(len(f), AREAS) for c in ("areas_a", "areas_b"))
+            first = ((f.na > f.nb) | ((f.na == f.nb) & (f.a > f.b))).to_numpy()[:, None]
+            f["agree"] = area_agreement(np.where(first, a, b), np.where(first, b, a))
+            f["lo"], f["hi"] = np.minimum(f.na, f.nb), np.maximum(f.na, f.nb)
+            rel = [school_names.compare(x, y) for x, y in zip(f.a, f.b, strict=True)]
+            f["kind"], f["length"], f["replaced"] = ([r[k] for r in rel] for k in range(3))
+            yield f[[c.split()[0] for c in _OUT.split(", ")]]
+
+    return full.mapInPandas(run, _OUT)
+
+
+# Where the fits start from; with many labelled pairs they count for little.
+_SHEET_PRIOR = [1.0, 2.0, -1.0]
+_LINK_PRIOR = [2.0, 3.0, 0.0, -0.5, -1.5, 2.0, -3.0, -2.0, -1.0]
+_AREA_BINS = [0.1, 0.3, 0.5]
+_AREA_PRIOR = ([0.5, 0.5, 1.0, 50.0], [40.0, 2.0, 2.0, 8.0])  # pairs of one school and others, by bin
+
+
+def _logit(columns: list[Column], weights: np.ndarray) -> Column:
+    return sum((c * float(w) for c, w in zip(columns[1:], weights[1:], strict=True)), F.lit(float(weights[0])))
+
+
+def _fitted(rows: DataFrame, columns: list[Column], label: Column, weight: Column, prior: list[float]) -> np.ndarray:
+    """Logistic weights from at most SAMPLE of the rows, by hash."""
+    named = [c.cast("double").alias(f"x{k}") for k, c in enumerate(columns)]
+    sample = rows.orderBy(F.xxhash64("a", "b")).limit(SAMPLE).select(*named, label.cast("double").alias("y"), weight.cast("double").alias("w")).toPandas()
+    x = sample[[f"x{k}" for k in range(len(columns))]].to_numpy(float)
+    return logistic.fit(x, sample.y.to_numpy(float), sample.w.to_numpy(float), prior)
+
+
+def scored_pairs(described: DataFrame, names: DataFrame) -> DataFrame:
+    """(a, b, s): the weight of each related pair in the linkage, near the probability that both are one school."""
+    median = names.agg(F.median("n").alias("median"))
+    d = described.crossJoin(F.broadcast(median)).withColumns({
+        "ratio": F.log(F.col("lo") / F.col("hi")), "size": F.log(F.col("lo") / F.col("median")), "rate": F.coalesce("shared", F.lit(0)) / F.col("lo"),
+        "bin": F.when(F.col("agree").isNull() | F.isnan("agree"), len(_AREA_BINS) + 1).otherwise(sum((F.col("agree") >= x).cast("int") for x in _AREA_BINS)),
+    })
+    top = len(_AREA_BINS)
+    sheets, near = F.col("rate") >= RATE, F.col("bin") == top
+    d = d.withColumns({"sheets": sheets, "met": F.col("met") & ~sheets})
+    related = F.col("kind").isNotNull()
+    # how the areas of spellings of one school agree, and those of unrelated names
+    sure = related & (F.col("sheets") | (F.col("cosine") >= 0.95))
+    seen = {r.bin: (r.own, r.other) for r in d.groupBy("bin").agg(F.count_if(sure).alias("own"), F.count_if(~related).alias("other")).collect()}  # five rows
+    own, other = (np.array([_AREA_PRIOR[k][b] + seen.get(b, (0, 0))[k] for b in range(top + 1)]) for k in (0, 1))
+    share = float(other[top] / other.sum())  # of unrelated names in one area
+    llr = np.log(own / own.sum()) - np.log(other / other.sum())
+    area = F.element_at(F.array(*[F.lit(float(x)) for x in [*(llr - llr[top]), -llr[top]]]), F.col("bin") + 1)
+    # how likely spellings of one school are to share a sheet, by their sizes
+    one = F.lit(1.0)
+    sizes = [one, F.col("size"), F.col("ratio")]
+    sheet = _fitted(d.where(related & (F.col("cosine") >= 0.8) & near), sizes, F.col("sheets"), one, _SHEET_PRIOR)
+    chance = 1 / (1 + F.exp(-_logit(sizes, sheet)))
+    r = d.where(related).withColumn("chance", chance)
+    # weak labels: shared sheets, weighted up by their chance; far areas or a contest against each other, weighted to the
+    # number of unrelated names that one area holds
+    yes, no = F.col("sheets") & near, ((F.col("bin") == 0) | F.col("met")) & ~F.col("sheets")
+    r = r.withColumns({
+        "yes": F.when(yes, 1 / F.greatest("chance", F.lit(0.05))).otherwise(0.0), "no": F.when(no, share / (1 - share)).otherwise(0.0),
+    })
+    # how often the same two characters are replaced by each other elsewhere, in pairs of one school and of two
+    swaps = r.where("replaced is not null").groupBy("replaced").agg(F.sum("yes").alias("all_yes"), F.sum("no").alias("all_no"))
+    r = r.join(swaps, "replaced", "left")
+    replaced = F.col("replaced").isNotNull()
+    elsewhere = lambda c: F.when(replaced, F.log1p(F.greatest(F.col(f"all_{c}") - F.col(c), F.lit(0.0)))).otherwise(0.0)
+    columns = [
+        one, F.coalesce("cosine", F.lit(0.0)), F.col("ratio"), F.col("size"), ((F.col("length") <= 2) & (F.coalesce("cosine", F.lit(0.0)) < 0.8)).cast("double"),
+        elsewhere("yes"), elsewhere("no"), replaced.cast("double"), (F.col("kind") == "drop").cast("double"),
+    ]
+    r = checkpointed(r.select("a", "b", "sheets", "met", "rate", "chance", "yes", "no", area.alias("area"), *[c.alias(f"f{k}") for k, c in enumerate(columns)]))
+    columns = [F.col(f"f{k}") for k in range(len(columns))]
+    link = _fitted(r.where("yes > 0 or no > 0"), columns, F.col("yes") > 0, F.greatest("yes", "no"), _LINK_PRIOR)
+    z = _logit(columns, link) + F.col("area") + F.when(F.col("met"), -4.0).otherwise(0.0) + F.when(F.col("sheets"), 0.0).otherwise(F.log(1 - F.col("chance") + 1e-4))
+    p = 1 / (1 + F.exp(-z))
+    seen_on = F.least(F.lit(0.95), F.greatest(F.lit(0.5), F.col("rate") / TYPICAL))
+    return r.select("a", "b", F.when(F.col("sheets"), 1 - (1 - p) * (1 - seen_on)).otherwise(p).alias("s")).where("s >= 0.001")
 
 
 def average_linkage(weights: DataFrame, pairs: DataFrame, threshold: float = LINK) -> DataFrame:
@@ -244,8 +298,10 @@ def school_clusters(matches: DataFrame, cosine: float = COSINE, threshold: float
     names = checkpointed(names_of(matches))
     shared = checkpointed(shared_contests(matches))
     # pairs that share contests are looked at whatever their cosine
-    pairs = cosine_pairs(names, cosine).select("a", "b").unionByName(shared.select("a", "b")).distinct()
-    scored = scored_pairs(names, pairs, shared)
+    pairs = cosine_pairs(names, cosine).join(shared, ["a", "b"], "full")
+    met = met_pairs(matches).withColumn("met", F.lit(True))
+    pairs = pairs.join(met, ["a", "b"], "left").withColumn("met", F.coalesce("met", F.lit(False)))
+    scored = scored_pairs(checkpointed(described_pairs(names, pairs)), names)
     return average_linkage(names, scored, threshold).join(names, "name")
 
 

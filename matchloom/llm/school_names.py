@@ -33,11 +33,11 @@ READINGS = {
     "みち": "道", "みなみ": "南", "みぞ": "溝", "みね": "峰", "みの": "蓑", "みや": "宮", "むぎ": "麦", "むら": "村", "むろ": "室", "もり": "森",
     "もん": "門", "やま": "山", "ゆき": "雪", "ゆみ": "弓", "よこ": "横", "よし": "吉", "よね": "米", "わか": "若", "わし": "鷲", "わた": "綿",
 }
-# Older, variant and look-alike ideographs and the usual one of each.
+# Older and variant forms of ideographs and the usual one of each.
 USUAL = dict(
     zip(
-        "補峙赴仲枩柵烏彬迂掬靏桒窊官朱副付笂埼薗澤复舩凧能楳紬地邨阪曇廣域王瀧礒豐荻橿樟蔵右茫龜午管乎奧嶋景運芲具玲推依腫咸駈稻筱媛峯皇橫鯰舂街麗國理籐絲枚探来鋼谿精鐮儺黙霧窒掘艸途虐浪鍾畠侍穹渦苙哥苦沙霎巌引爪故槗氷崖蒼杜河濱芽敦路鹽穐繩學髙﨑廳關實總繁澁邊齋齊黑鷄壽應會",
-        "浦時越沖松棚鳥杉辻菊鶴桑窪宮赤福附竹崎園沢夏船風熊梅細池村坂雲広城玉滝磯豊萩樫楠倉石荒亀牛菅平奥島影蓮花貝鈴椎衣種成駒稲篠姫峰星横鮎春町鹿国里藤糸牧深米綱谷清鎌灘墨霜室堀草道虎波鐘畑寺空鍋笹歌若砂雪岩弓瓜古橋永岸青森川浜茅敷露塩秋縄学高崎庁関実総繁渋辺斎斉黒鶏寿応会",
+        "枩靏桒付埼薗澤舩楳邨阪廣瀧礒豐橿樟蔵龜奧嶋景芲稻筱媛峯橫國絲谿鐮艸鍾畠哥沙巌槗杜河濱鹽穐繩學髙﨑廳關實總澁邊齋齊黑鷄壽應會",
+        "松鶴桑附崎園沢船梅村坂広滝磯豊樫楠倉亀奥島影花稲篠姫峰横国糸谷鎌草鐘畑歌砂岩橋森川浜塩秋縄学高崎庁関実総渋辺斎斉黒鶏寿応会",
         strict=True,
     )
 )
@@ -55,6 +55,8 @@ SHORT = {
 KANA_WORDS = {"がくえん": "学園", "がくいん": "学院", "かん": "館", "ぎじゅく": "義塾", "だい": "第"}
 CLUB_ENDS = {"FCユース": "FCユース", "SCユース": "SCユース", "SCY": "SCユース", "FCY": "FCユース", "FC": "FC FCユース", "SC": "SC SCユース", "ユース": "FCユース SCユース"}
 READING = re.compile("|".join(sorted(READINGS, key=len, reverse=True)))
+STARTS = {x for x, full in SUFFIXES.items() if len(x) == 1 and x == full}
+ENDS = STARTS | set(SHORT)
 MOVABLE = sorted((s for s in SUFFIXES if SUFFIXES[s] == s), key=len, reverse=True)
 BY_LENGTH = sorted(SUFFIXES, key=len, reverse=True)
 
@@ -102,6 +104,8 @@ def _clean(base: str) -> str:
 def forms(name: str) -> tuple[Form, ...]:
     """The possible readings of a spelling, the likeliest first; at least one."""
     s = "".join(USUAL.get(c, c) for c in fold(name))
+    if not s:  # nothing but remarks or nothing at all
+        return (Form("", name, frozenset(), False),)
     for kana, word in KANA_WORDS.items():
         if s.endswith(kana) and len(s) > len(kana) + 1:
             s = s[: -len(kana)] + word
@@ -175,15 +179,35 @@ def base_distance(a: str, b: str) -> str | None:
     return None
 
 
-def compare(a: str, b: str) -> tuple[str | None, int]:
-    """The nearest relation of two spellings over their readings and the length of the longer base.
+class Relation(NamedTuple):
+    """kind: see `compare`; length of the longer base; replaced: the two characters that differ, for kind 'other'."""
 
-    Relations, from near to far: same, suffix (the same base, a suffix of which only a shortening is written),
-    swap, drop, other; None when they are further apart.
+    kind: str | None
+    length: int
+    replaced: str | None
+
+
+def _only_suffix(a: str, b: str) -> bool:
+    """Two bases one edit apart differ in a last or first character that stands for a suffix: sister schools."""
+    if len(a) == len(b):
+        return a[:-1] == b[:-1] and (a[-1] in ENDS or b[-1] in ENDS)
+    long, short = (a, b) if len(a) > len(b) else (b, a)
+    return (long[:-1] == short and long[-1] in ENDS) or (long[1:] == short and long[0] in STARTS)
+
+
+def _replaced(a: str, b: str) -> str:
+    return "".join(sorted(next((x, y) for x, y in zip(a, b, strict=True) if x != y)))
+
+
+def compare(a: str, b: str) -> Relation:
+    """The nearest relation of two spellings over their readings.
+
+    Kinds, from near to far: same, suffix (the same base, a suffix of which only a shortening is written), swap, drop,
+    other (one character replaced); None when they are further apart.
     """
-    best: tuple[int, str | None, int] = (9, None, 0)
-    for i, fa in enumerate(forms(a)):
-        for j, fb in enumerate(forms(b)):
+    best: tuple[int, Relation] = (9, Relation(None, 0, None))
+    for fa in forms(a):
+        for fb in forms(b):
             clubs = fa.club == fb.club
             if not clubs and fa.club and fb.club:
                 continue
@@ -193,7 +217,7 @@ def compare(a: str, b: str) -> tuple[str | None, int]:
             elif fa.suffix or fb.suffix:
                 continue
             rel = base_distance(fa.base, fb.base)
-            if rel is None:
+            if rel is None or (rel in ("drop", "other") and _only_suffix(fa.base, fb.base)):
                 continue
             cost = {"same": 0, "swap": 2, "drop": 3, "other": 4}[rel] + (0 if clubs else 1)
             if cost == 0 and len(fa.suffix | fb.suffix) > 1:
@@ -201,17 +225,20 @@ def compare(a: str, b: str) -> tuple[str | None, int]:
             if not clubs and rel not in ("same", "drop"):
                 continue
             if cost < best[0]:
-                best = (cost, rel if clubs or rel == "drop" else "suffix", max(len(fa.base), len(fb.base)))
-    return best[1], best[2]
+                kind = rel if clubs or rel == "drop" else "suffix"
+                best = cost, Relation(kind, max(len(fa.base), len(fb.base)), _replaced(fa.base, fb.base) if kind == "other" else None)
+    return best[1]
 
 
 def grams(name: str) -> list[str]:
-    """Character n-grams with gaps, regardless of order: pairs of base characters, and for short bases also each
-    character with the suffix."""
+    """Character n-grams with gaps, regardless of order, over all readings: the characters of the base and their pairs, for
+    short bases also each character with the suffix, and the club word."""
     out: set[str] = set()
-    for f in forms(name)[:2]:
+    for f in forms(name):
         chars = f.base[:-1] if f.base.endswith("高") and len(f.base) > 2 else f.base
-        out |= {"".join(sorted((x, y))) for i, x in enumerate(chars) for y in chars[i + 1 :]}
+        out |= {"".join(sorted((x, y))) for i, x in enumerate(chars) for y in chars[i + 1 :]} | set(chars)
         if len(chars) <= 2:
             out |= {f"{c}|{s}" for c in chars for s in (f.suffix or {"-"})}
+        if f.club:
+            out.add(f"{f.club}|")
     return sorted(out)

@@ -109,6 +109,61 @@ def test_school_clusters(spark):
     assert len({got[x] for x in ("啓笹農業", "啓笹商業", "虹青里", "虹門里", "露池鳳", "麟町沖国際")}) == 6
 
 
+def test_school_clusters_of_another_alphabet(spark):
+    """Letters of no table here: slips are linked by their vectors and shared sheets, different schools stay apart."""
+    random.seed(7)
+    letters = [chr(c) for c in range(0xAC00, 0xAC00 + 60)]
+    schools = ["".join(random.sample(letters, 5)) for _ in range(24)]
+    slips = {x: x[:2] + x[3:] if k % 2 else x[0] + x[2] + x[1] + x[3:] for k, x in enumerate(schools[:12])}
+    rows, seq = [], 0
+    for k, x in enumerate(schools):
+        for j in range(24):
+            y = random.choice([o for o in schools if o != x])
+            area = f"第{k % 3 + 1}地区"
+            seq += 1
+            rows.append(match(seq, x, y, no=str(seq), area=area, year=2000 + j, doc=f"sen{k}_ij_{seq:06d}.pdf"))
+            if x in slips and j % 4 == 0:  # a later copy of the same sheet
+                seq += 1
+                rows.append(match(seq, slips[x], y, no=str(seq - 1), area=area, year=2000 + j, doc=f"sen{k}_ij_{seq - 1:06d}.pdf"))
+    got = {r.name: r.cluster for r in name_variants.school_clusters(spark.createDataFrame(rows, MATCHES)).collect()}
+    assert all(got[v] == got[x] for x, v in slips.items())
+    assert len({got[x] for x in schools}) == len(schools)
+
+
+def test_link_weights_do_not_depend_on_the_number_of_copies(spark):
+    names = name_variants.names_of(variant_table(spark)).cache()
+    pairs = name_variants.cosine_pairs(names).withColumns({"shared": F.when(F.hash("a") % 3 == 0, 2), "met": F.hash("a") % 7 == 0})
+    one = name_variants.described_pairs(names, pairs).cache()
+    ten = one.withColumns({c: (F.col(c) * 10).cast("int") for c in ("lo", "hi", "shared")})
+    a = {(r.a, r.b): r.s for r in name_variants.scored_pairs(one, names).collect()}
+    b = {(r.a, r.b): r.s for r in name_variants.scored_pairs(ten, names.withColumn("n", F.col("n") * 10)).collect()}
+    assert a and a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-6 for k in a)
+
+
+def test_cosine_join_is_exact(spark):
+    random.seed(11)
+    names = ["".join(random.choice("abcdefghijkl") for _ in range(random.randrange(2, 7))) for _ in range(150)]
+    names = sorted(set(names)) + ["", "啓笹農業", "啓笹商業"]
+    df = spark.createDataFrame([(x,) for x in names], "name string")
+    grams = {x: set(school_names.grams(x)) for x in names}
+    df_of = {}
+    for g in grams.values():
+        for x in g:
+            df_of[x] = df_of.get(x, 0) + 1
+    w = {x: {g: np.log(1 + len(names) / df_of[g]) for g in gs} for x, gs in grams.items()}
+    norm = {x: sum(v * v for v in d.values()) ** 0.5 for x, d in w.items()}
+    for least in (0.15, 0.5):
+        want = {}
+        for i, a in enumerate(sorted(names)):
+            for b in sorted(names)[i + 1 :]:
+                if norm[a] and norm[b]:
+                    c = sum(w[a][g] * w[b].get(g, 0) for g in w[a]) / norm[a] / norm[b]
+                    if c >= least:
+                        want[(a, b)] = c
+        got = {(r.a, r.b): r.cosine for r in name_variants.cosine_pairs(df, least).collect()}
+        assert want.keys() == got.keys() and all(abs(want[k] - got[k]) < 1e-9 for k in want)
+
+
 def test_school_clusters_empty(spark):
     assert name_variants.school_clusters(spark.createDataFrame([], MATCHES)).count() == 0
 
