@@ -1,17 +1,19 @@
 """Problem 8: keyword-stuffed and link-list pages.
 
 1. Each page is reduced, where it lies, to the spectrum of its rank-frequency curve (how many terms occur how often),
-   which holds the whole curve in a few numbers, and to a handful of shares (function words, links, units that end
-   alike).
-2. SQL windows over the spectra turn counts into ranks and fit ln frequency against ln rank per page: slope, residual
-   and concentration. They are held against pages of the same script and a comparable length (medians and median
-   deviations over all pages of the bucket).
-3. Pages with an extreme curve and hardly any function words are the weak labels of a lexicon: from at most `SAMPLE`
-   labelled pages of each kind (chosen by hash) the character bigrams that divergence from prose marks as stuffing.
-   Only this lexicon comes from a sample; the curves, their statistics and the scores cover all pages.
-4. Every page is scored by the share of its characters inside stuffing bigrams and links, against the share of
-   function words, which an explained link or an honest list keeps; doorway pages (place or school names joined to
-   one term) are told by their curve: one ending dominates units of otherwise different words.
+   which holds the whole curve in a few numbers, to its shares of kinds of characters (kana, ideographs, letters, digits,
+   links, others) and a handful of shapes (units that end alike, number of links).
+2. SQL windows over the spectra turn counts into ranks and fit ln frequency against ln rank per page: slope, residual and
+   concentration. Divergence is that of the page's kinds of characters from those of prose. All four are held against the
+   prose pages of the same script and a comparable length (medians and median deviations over all of them); prose is told
+   by the share of what joins words: hiragana, and in Latin script the words that a fifth of its pages use, counted over
+   all pages.
+3. Only pages extreme in slope, residual, concentration or divergence are flagged. An extreme curve with next to nothing
+   that joins words is a case by itself.
+4. Every other flagged page is checked by what it is made of: a classifier of character bigrams, fitted on at most
+   `SAMPLE` pages with an extreme curve and as many of prose (chosen by hash), gives the share of its characters inside
+   stuffing; links, the share of joining words (which an explained link or an honest list keeps) and unit ends (doorway
+   pages: place or school names joined to one term) decide with it.
 
 Results for odd input: null, empty and very short pages are no cases; texts are read whole; repeated rows give repeated
 results; the columns other than doc_id and text are not read.
@@ -31,17 +33,15 @@ from pyspark.sql import functions as F
 
 from ..session import checkpointed
 
-SAMPLE = 1500  # most pages of each weak label that shape the lexicon
-LEXICON = 4000  # most bigrams in the lexicon
+SAMPLE = 1500  # most pages of each weak label that fit the bigram classifier
+COMMON = 0.2  # least share of the Latin pages that use a joining word
+EXTREME = 1.5  # least distance from prose, in deviations, of a flagged page
 SHARE = 0.42  # least share of stuffing and links
 
 INVISIBLE = re.compile("[​-‏⁠-⁤﻿\xad᠎︀-️]")
 LINK = re.compile(r"(?:https?://|www\.)[^\s、。（）()\]→・|,\"<>]+|[a-z0-9][a-z0-9.\-]*\.[a-z]{2,8}/[^\s、。（）()\]→・|,\"<>]*")
 TERM = re.compile("[ァ-ヴー]+|[一-龥々]+|[A-Za-z]{2,}")
-FUNCTION = re.compile(
-    r"[ぁ-ゖ]|\b(?:the|a|an|of|in|on|and|to|was|were|is|are|it|its|for|with|that|this|at|by|so|but|because|which|be|or|as|still|have|has|had|no|not|than|from|felt|should|will|would|this|week)\b",
-    re.I,
-)
+KINDS = re.compile("([ぁ-ゖ])|([ァ-ヴー])|([一-龥々])|([A-Za-zÀ-ɏ])|([0-9])")
 UNIT = re.compile(r"[\n、,，>＞|｜／/・;；]+")
 EDGE = " \t　#＃[](){}:：.。0123456789★円-–"
 
@@ -51,7 +51,8 @@ def plain(text: str) -> str:
 
 
 def page_shape(text: str | None) -> tuple:
-    """(chars, terms, kinds, spectrum, function share, link share, links, script, units, share of the commonest unit end)."""
+    """(chars, terms, kinds, spectrum's frequencies and sizes, characters by kind, Latin words and their numbers if the page
+    is in Latin script, link share, links, script, units, share of the commonest unit end)."""
     x = plain(text or "")
     y, number = LINK.subn(" ", x)
     links = len(x) - len(y)
@@ -59,9 +60,11 @@ def page_shape(text: str | None) -> tuple:
     counts = Counter(words)
     spectrum = sorted(Counter(counts.values()).items(), reverse=True)
     body = len(y) - y.count(" ") - y.count("\n") - y.count("　")
-    functional = sum(map(len, FUNCTION.findall(y)))
     latin = sum(len(w) for w in words if w[0] < "ɐ")
     script = "latin" if latin * 2 > body else "ja"
+    joined = Counter(w.lower() for w in re.findall("[A-Za-z]+", y)) if script == "latin" else {}
+    by_kind = Counter(m.lastindex for m in KINDS.finditer(y))
+    mix = [by_kind[k] for k in range(1, 6)]
     units = [u for u in (p.strip(EDGE) for p in UNIT.split(y)) if len(u) >= 2]
     if len(units) < 6:
         units = [u for u in (p.strip(EDGE) for p in y.split()) if len(u) >= 2]
@@ -71,61 +74,107 @@ def page_shape(text: str | None) -> tuple:
     varied = len({u for u in units if u.endswith(top)}) if mass else 0
     end = mass / len(units) if units and varied >= 0.25 * mass and heads.most_common(1)[0][1] < 0.5 * len(units) else 0.0
     return (
-        len(x), len(words), len(counts), [f for f, _ in spectrum], [n for _, n in spectrum],
-        functional / max(body, 1), links / max(len(x), 1), number, script, len(units), end,
+        len(x), len(words), len(counts), [f for f, _ in spectrum], [n for _, n in spectrum], body, [*mix, max(body - sum(mix), 0), links],
+        list(joined), list(joined.values()), links / max(len(x), 1), number, script, len(units), end,
     )
 
 
 SHAPE = (
-    "doc_id bigint, chars int, terms int, kinds int, freqs array<int>, sizes array<int>, functional double, links double,"
-    " number int, script string, units int, ending double"
+    "doc_id bigint, text_hash bigint, chars int, terms int, kinds int, freqs array<int>, sizes array<int>, body int, mix array<int>,"
+    " words array<string>, uses array<int>, links double, number int, script string, units int, ending double"
 )
 
 
 def shapes(docs: DataFrame) -> DataFrame:
-    types = [pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.float64(), pa.float64(), pa.int32(), pa.string(), pa.int32(), pa.float64()]
+    ints, i32, f64 = pa.list_(pa.int32()), pa.int32(), pa.float64()
+    types = [i32, i32, i32, ints, ints, i32, ints, pa.list_(pa.string()), ints, f64, i32, pa.string(), i32, f64]
     names = [c.split()[0] for c in SHAPE.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = list(zip(*[page_shape(t) for t in batch.column(1).to_pylist()], strict=True))
+            cols = list(zip(*[page_shape(t) for t in batch.column(2).to_pylist()], strict=True))
             if not cols:
                 continue
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], names=names)
+
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, SHAPE)
+
+
+def with_joining(shape: DataFrame) -> DataFrame:
+    """Adds `functional`, the share of what joins words: hiragana, and in Latin script the words that many of its pages use."""
+    latin = shape.where("script = 'latin'")
+    used = latin.select("row", F.explode(F.arrays_zip("words", "uses")).alias("u")).select("row", F.col("u.words").alias("word"), F.col("u.uses").alias("n"))
+    # each such word takes a share of the pages, so there are at most the words of a page / COMMON of them
+    common = used.groupBy("word").agg(F.count("*").alias("pages")).crossJoin(F.broadcast(latin.agg(F.count("*").alias("total")))).where(F.col("pages") >= COMMON * F.col("total"))
+    joining = used.join(F.broadcast(common.select("word")), "word").groupBy("row").agg(F.sum(F.length("word") * F.col("n")).alias("joining"))
+    return (
+        shape.join(joining, "row", "left")
+        .withColumn("functional", (F.element_at("mix", 1) + F.coalesce("joining", F.lit(0))) / F.greatest("body", F.lit(1))).drop("joining", "words", "uses")
+    )
+
+
+MEASURES = ("slope", "residual", "spread", "divergence")
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, SHAPE)
+def is_prose():
+    return F.when(F.col("script") == "latin", F.col("functional") > 0.2).otherwise(F.col("functional") > 0.25) & (F.col("terms") >= 10)
+
+
+def _nearest(spark: SparkSession, rows: list, columns: list[str]) -> DataFrame:
+    """The statistics of each script and length; a length without prose takes those of the nearest with some."""
+    out = []
+    for script in ("ja", "latin"):
+        have = {r.bucket: r for r in rows if r.script == script} or {r.bucket: r for r in rows}
+        for bucket in range(33):
+            if have:
+                near = have[min(have, key=lambda b: (abs(b - bucket), b))]
+                out.append((script, bucket, *[float(near[c]) if c != "mix_mid" else [float(v) for v in near[c]] for c in columns]))
+    kinds = ", ".join(f"{c} {'array<double>' if c == 'mix_mid' else 'double'}" for c in columns)
+    return spark.createDataFrame(out, f"script string, bucket int, {kinds}")
 
 
 def curves(shape: DataFrame) -> DataFrame:
-    """Adds slope, residual and concentration of each page's rank-frequency curve and how far they lie from pages of
-    the same script and a comparable length."""
-    cumulated = shape.select("doc_id", "terms", F.posexplode(F.arrays_zip("freqs", "sizes")).alias("k", "p")).select(
-        "doc_id", "k", F.col("p.freqs").alias("f"), F.col("p.sizes").alias("n"),
-        F.expr("sum(p.sizes) over (partition by doc_id order by k rows unbounded preceding)").alias("upto"),
+    """Adds slope, residual, concentration and divergence of each page and how far they lie from prose of the same script
+    and a comparable length."""
+    spark = shape.sparkSession
+    cumulated = shape.select("row", F.posexplode(F.arrays_zip("freqs", "sizes")).alias("k", "p")).select(
+        "row", "k", F.col("p.freqs").alias("f"), F.col("p.sizes").alias("n"),
+        F.expr("sum(p.sizes) over (partition by row order by k rows unbounded preceding)").alias("upto"),
     )
     # the n terms of one frequency share the middle of their ranks
-    points = cumulated.select("doc_id", "n", F.log("f").alias("y"), F.log(F.col("upto") - (F.col("n") - 1) / 2).alias("x"))
-    fit = points.groupBy("doc_id").agg(
+    points = cumulated.select("row", "n", F.log("f").alias("y"), F.log(F.col("upto") - (F.col("n") - 1) / 2).alias("x"))
+    fit = points.groupBy("row").agg(
         F.sum("n").alias("s"), F.sum(F.expr("n * x")).alias("sx"), F.sum(F.expr("n * y")).alias("sy"), F.sum(F.expr("n * x * x")).alias("sxx"),
         F.sum(F.expr("n * x * y")).alias("sxy"), F.sum(F.expr("n * y * y")).alias("syy"),
     )
     fit = (
         fit.withColumn("vx", F.expr("sxx - sx * sx / s")).withColumn("cxy", F.expr("sxy - sx * sy / s")).withColumn("vy", F.expr("syy - sy * sy / s"))
-        .select("doc_id", F.expr("case when vx > 1e-9 then cxy / vx else 0 end").alias("slope"),
+        .select("row", F.expr("case when vx > 1e-9 then cxy / vx else 0 end").alias("slope"),
                 F.expr("case when vx > 1e-9 then sqrt(greatest(0, vy - cxy * cxy / vx) / s) else 0 end").alias("residual"))
     )
-    full = shape.drop("freqs", "sizes").join(fit, "doc_id", "left").fillna(0.0, ["slope", "residual"])
-    full = full.withColumn("spread", F.log(F.greatest("terms", F.lit(1)) / F.greatest("kinds", F.lit(1)))).withColumn(
-        "bucket", F.floor(F.log2(F.greatest("terms", F.lit(1))))
+    full = shape.drop("freqs", "sizes").join(fit, "row", "left").fillna(0.0, ["slope", "residual"])
+    full = full.withColumns({
+        "spread": F.log(F.greatest("terms", F.lit(1)) / F.greatest("kinds", F.lit(1))),
+        "bucket": F.floor(F.log2(F.greatest("chars", F.lit(1)))).cast("int"),
+        "mix": F.expr("transform(mix, x -> (x + 0.5d) / (aggregate(mix, 0, (s, y) -> s + y) + 3.5d))"),
+    })
+    full = checkpointed(full)
+    three = MEASURES[:3]
+    # at most 66 rows: scripts x log2 lengths
+    middle = full.where(is_prose()).groupBy("script", "bucket").agg(
+        *[F.percentile_approx(c, 0.5, 1000).alias(f"{c}_mid") for c in three], F.array(*[F.avg(F.element_at("mix", k + 1)) for k in range(7)]).alias("mix_mid")
+    ).collect()
+    with_mid = full.join(F.broadcast(_nearest(spark, middle, [*[f"{c}_mid" for c in three], "mix_mid"])), ["script", "bucket"], "left") if middle else full.withColumns(
+        {f"{c}_mid": F.lit(0.0) for c in three} | {"mix_mid": F.array(*[F.lit(1 / 7)] * 7)}
+    )
+    with_mid = with_mid.withColumns({"divergence": F.expr("aggregate(zip_with(mix, mix_mid, (p, q) -> p * ln(p / q)), 0d, (s, x) -> s + x)"), "divergence_mid": F.lit(0.0)})
+    off = with_mid.where(is_prose()).groupBy("script", "bucket").agg(*[F.percentile_approx(F.abs(F.col(c) - F.col(f"{c}_mid")), 0.5, 1000).alias(f"{c}_off") for c in MEASURES]).collect()
+    scored = with_mid.join(F.broadcast(_nearest(spark, off, [f"{c}_off" for c in MEASURES])), ["script", "bucket"], "left") if off else with_mid.withColumns(
+        {f"{c}_off": F.lit(0.1) for c in MEASURES}
     )
-    names = ("slope", "residual", "spread")
-    middle = full.groupBy("script", "bucket").agg(*[F.percentile_approx(c, 0.5, 1000).alias(f"{c}_mid") for c in names])
-    with_mid = full.join(F.broadcast(middle), ["script", "bucket"])  # scripts x log2 lengths: under a hundred rows
-    off = with_mid.groupBy("script", "bucket").agg(*[F.percentile_approx(F.abs(F.col(c) - F.col(f"{c}_mid")), 0.5, 1000).alias(f"{c}_off") for c in names])
-    scored = with_mid.join(F.broadcast(off), ["script", "bucket"])
-    for c in names:
+    for c in MEASURES:
         scored = scored.withColumn(f"{c}_z", (F.col(c) - F.col(f"{c}_mid")) / (1.5 * F.col(f"{c}_off") + 0.03))
-    return scored.select("doc_id", "chars", "terms", "functional", "links", "number", "script", "units", "ending", "spread", *names[:2], *[f"{c}_z" for c in names])
+    return scored.select("doc_id", "text_hash", "chars", "terms", "functional", "links", "number", "script", "units", "ending", *MEASURES, *[f"{c}_z" for c in MEASURES])
 
 
 def bigrams(text: str) -> set[str]:
@@ -140,20 +189,18 @@ def bigrams(text: str) -> set[str]:
 
 
 def lexicon(stuffed: list[str], prose: list[str]) -> list[str]:
-    """Bigrams found in far more stuffed pages than prose pages; those of one page or two say nothing."""
+    """Bigrams found in far more stuffed pages than prose pages; those of a few pages say nothing."""
     s, p = Counter(), Counter()
     for t in stuffed:
         s.update(bigrams(t))
     for t in prose:
         p.update(bigrams(t))
     ns, np_ = len(stuffed) + 1, len(prose) + 1
-    least = max(3, 0.006 * ns)
-    weight = {g: log((c + 0.5) / ns) - log((p[g] + 0.5) / np_) for g, c in s.items() if c >= least}
-    return sorted((g for g, w in weight.items() if w >= 1.2), key=lambda g: (-weight[g] * s[g], g))[:LEXICON]
+    return sorted(g for g, c in s.items() if c >= max(3, 0.006 * ns) and log((c + 0.5) / ns) - log((p[g] + 0.5) / np_) >= 1.2)
 
 
 def stuffing_share(docs: DataFrame, grams: list[str]) -> DataFrame:
-    """(doc_id, stuffing): share of the characters (links apart) inside bigrams of the lexicon."""
+    """(doc_id, text_hash, stuffing), each once: share of the characters (links apart) inside bigrams of the lexicon."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
@@ -164,7 +211,7 @@ def stuffing_share(docs: DataFrame, grams: list[str]) -> DataFrame:
         machine.make_automaton()
         for batch in batches:
             shares = []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 y = LINK.sub(" ", plain(text or "")).lower()
                 body = len(y) - y.count(" ") - y.count("\n") - y.count("　")
                 covered, last = 0, -1
@@ -174,27 +221,40 @@ def stuffing_share(docs: DataFrame, grams: list[str]) -> DataFrame:
                         covered += end - start + 1 - y.count(" ", start, end + 1)
                         last = end
                 shares.append(covered / max(body, 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shares, pa.float64())], names=["doc_id", "stuffing"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shares, pa.float64())], names=["doc_id", "text_hash", "stuffing"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, stuffing double")
+    shares = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id bigint, text_hash bigint, stuffing double")
+    return shares.groupBy("doc_id", "text_hash").agg(F.first("stuffing").alias("stuffing"))
 
 
-def scored_pages(docs: DataFrame) -> DataFrame:
-    # the shapes are read three times (fit, medians, deviations): written once, the texts are parsed once
-    curve = checkpointed(curves(checkpointed(shapes(docs))))
+def stuffed_curve():
+    """An extreme curve with next to nothing that joins words: a case by itself."""
     odd = (F.col("spread_z") > 3) | (F.col("slope_z") < -3) | (F.col("residual_z") > 3)
-    stuffed = curve.where(odd & (F.col("functional") < 0.12) & (F.col("terms") >= 20) & (F.col("spread") > 0.35))
-    prose = curve.where(((F.col("script") == "ja") & (F.col("functional") > 0.35)) | ((F.col("script") == "latin") & (F.col("functional") > 0.2)))
-    prose = prose.where((F.abs("spread_z") < 2) & (F.abs("slope_z") < 2) & (F.col("terms") >= 10))
+    return odd & (F.col("functional") < 0.12) & (F.col("terms") >= 20) & (F.col("spread") > 0.35)
+
+
+def scored_pages(docs: DataFrame) -> DataFrame:
+    # the shapes are read several times: written once, the texts are parsed once for them
+    shape = checkpointed(shapes(docs).withColumn("row", F.monotonically_increasing_id()))
+    curve = checkpointed(curves(with_joining(shape)))
+    ordinary = is_prose() & (F.abs("spread_z") < 2) & (F.abs("slope_z") < 2) & (F.col("functional") > F.when(F.col("script") == "latin", 0.2).otherwise(0.35))
     labelled = []
-    for pages in (stuffed, prose):
-        ids = pages.select("doc_id").orderBy(F.xxhash64("doc_id")).limit(SAMPLE)
-        labelled.append([r.text for r in docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text").toLocalIterator()])
-    return curve.join(stuffing_share(docs, lexicon(*labelled)), "doc_id")
+    for pages in (curve.where(stuffed_curve()), curve.where(ordinary)):
+        ids = pages.select("doc_id", "text_hash").orderBy(F.xxhash64("doc_id")).limit(SAMPLE).distinct()
+        hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+        labelled.append([r.text for r in hashed.join(F.broadcast(ids), ["doc_id", "text_hash"]).select("text").toLocalIterator()])
+    share = stuffing_share(docs, lexicon(*labelled))
+    keyed = curve.withColumn("key", F.coalesce("doc_id", F.lit(0)))
+    return keyed.join(share.withColumn("key", F.coalesce("doc_id", F.lit(0))).drop("doc_id"), ["key", "text_hash"]).drop("key")
+
+
+def extreme():
+    """Far from prose of the same script and a comparable length, by the curve or the kinds of characters."""
+    return (F.col("slope_z") < -EXTREME) | (F.col("residual_z") > EXTREME) | (F.col("spread_z") > EXTREME) | (F.col("divergence_z") > EXTREME)
 
 
 def found_rule():
-    """Most of the page is stuffing or links, or it is a doorway page by its curve."""
+    """Extreme, and a stuffed curve or made of stuffing, links or doorway units."""
     terms, functional, stuffing, links = F.col("terms"), F.col("functional"), F.col("stuffing"), F.col("links")
     bad = links + (1 - links) * stuffing
     keywords = (terms >= 5) & (
@@ -204,7 +264,7 @@ def found_rule():
     concentrated = (F.col("spread") >= 1.8) & (functional < 0.3) & (terms >= 30)
     link_list = ((links >= 0.25) & (bad >= 0.5) & (functional < 0.3) & ((functional < 0.16) | (stuffing >= 0.25))) | ((links >= 0.55) & (F.col("number") >= 4))
     doorway = (F.col("ending") >= 0.45) & (F.col("units") >= 6) & (functional < 0.2)
-    return keywords | concentrated | link_list | doorway
+    return extreme() & (stuffed_curve() | keywords | concentrated | link_list | doorway)
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -217,4 +277,4 @@ def p8_scores(spark: SparkSession, folder: str) -> DataFrame:
     """The curve, shares and verdict of every page."""
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
     r = lambda c: F.round(c, 4).alias(c)
-    return scored_pages(docs).select("doc_id", *[r(c) for c in ("slope", "residual", "spread", "functional", "links", "stuffing", "ending")], "number", found_rule().alias("found"))
+    return scored_pages(docs).select("doc_id", *[r(c) for c in ("slope", "residual", "spread", "divergence", "functional", "links", "stuffing", "ending")], "number", found_rule().alias("found"))

@@ -369,12 +369,34 @@ def test_pack(spark):
 
 def test_page_shape_and_rules():
     shape = stuffing.page_shape("浦坂市応援タオル、丸峰区 応援タオル、岩戸市応援タオル、灘口応援タオル、芹沢区応援タオル、星川応援タオル")
-    assert shape[-1] >= 0.45 and shape[5] < 0.12
+    assert shape[-1] >= 0.45 and shape[6][0] == 0
     assert stuffing.page_shape(None)[0] == 0 and stuffing.page_shape("")[-1] == 0.0
     grams = stuffing.lexicon(["送料無料 ソックス"] * 20, ["昨日の試合は雨で順延になった。"] * 20)
     assert "送料" in grams and "試合" not in grams
 
 
+def pages_of_prose(n, first=1000):
+    prose = ["前半を無失点で終えたことが大きい、とベンチは振り返った。", "終盤に右からのクロスで追いつき、試合は振り出しに戻った。", "雨天でも行いますが、警報が出たときは順延します。", "芝は長めで、つなぐ形を得意とする側には苦しい条件だった。"]
+    return [(first + i, "".join(random.choice(prose) for _ in range(random.randrange(5, 25)))) for i in range(n)]
+
+
+def found(spark, docs):
+    return sorted(r.doc_id for r in stuffing.scored_pages(spark.createDataFrame(docs, "doc_id bigint, text string")).where(stuffing.found_rule()).collect())
+
+
+def test_found_pages_of_other_words(spark):
+    """A curve far from prose is enough: three pages in words that occur nowhere else; links without any; repeated rows."""
+    random.seed(9)
+    odd = [(i, " ".join(random.choice(["".join(random.Random(i * 10 + k).sample("魑魅魍魎驥驤髑髏鬱鬯", 3)) for k in range(6)]) for _ in range(80))) for i in range(3)]
+    links = [(7, "\n".join(f"https://www.example{k}.test/item/{k}" for k in range(30)))]
+    docs = odd + links + pages_of_prose(200) + [odd[0], (1, None), (7, "雨天でも行いますが、警報が出たときは順延します。")]
+    assert found(spark, docs) == [0, 0, 1, 2, 7]
+
+
+def test_found_pages_of_nothing(spark):
+    assert found(spark, []) == [] and found(spark, [(1, None), (2, ""), (None, "決勝")]) == []
+
+
 def test_found_pages(spark):
     random.seed(4)
     words = ["送料無料", "ソックス", "偏差値", "最安値", "順位表", "応援タオル", "ビブス", "通販", "激安"]
