@@ -291,12 +291,29 @@ def test_entity_match(spark):
     assert all(0.5 <= c <= 1 for _, c in got.values())
 
 
+def test_standings_ten_times_over(spark):
+    """The same rows counted ten times give the same schools; a spelling of the class other than its name finds it too."""
+    clusters = spark.createDataFrame(
+        [(x, c, n, [n, 0, 0, 0, 0, 0, 0, 0, 0]) for x, c, n in (("啓笹農業", "啓笹農業", 90), ("楠玉遥農業", "啓笹農業", 40), ("虹青里", "虹青里", 70), ("露池鳳", "露池鳳", 60))],
+        "name string, cluster string, n int, areas array<int>",
+    )
+    schema = "sid bigint, `年度` int, `リーグ` string, `地区` string, `順位` string, `チーム` string, `学校` string, `区分` string"
+    rows = [(k, 2020, "第1地区リーグ1部", "第1地区", "1", t, s, None) for k, (t, s) in enumerate([("玉楠遥農業", None), ("虹青里", "虹里"), ("露池鳳", "露鳳池高校"), ("蒲山翠", None), ("", "")])]
+    one = {r.sid: r.school for r in entity_match.match_standings(spark.createDataFrame(rows, schema), clusters).collect()}
+    many = [(r[0] + 100 * k, *r[1:]) for r in rows for k in range(10)]
+    ten = {r.sid: r.school for r in entity_match.match_standings(spark.createDataFrame(many, schema), clusters).collect()}
+    assert one == {0: "啓笹農業", 1: "虹青里", 2: "露池鳳"}
+    assert ten == {k + 100 * j: v for k, v in one.items() for j in range(10)}
+
+
 def test_logistic_is_calibrated():
     rng = np.random.default_rng(1)
     x = np.column_stack([np.ones(4000), rng.normal(size=4000)])
     y = (rng.random(4000) < 1 / (1 + np.exp(-(0.5 + 1.5 * x[:, 1])))).astype(float)
-    w = entity_match._calibrated(x, y)
+    w = entity_match.calibrated(x, y, rng.random(4000) < 0.5)
     assert abs(w[0] - 0.5) < 0.25 and abs(w[1] - 1.5) < 0.3
+    empty = entity_match.calibrated(x[:0], y[:0], np.zeros(0, bool))
+    assert empty == pytest.approx(entity_match.PRIOR[:2])
 
 
 # --- problem 5
