@@ -3,8 +3,8 @@
 Every item has a Gaussian skill; a comparison says that winner's performance exceeded loser's. Outcomes are first
 pre-aggregated to (winner, loser, count). Each such edge sends each of its ends a Gaussian message; a round computes
 all messages from the current marginals with the edge's own message taken out (its cavity), by moment matching of the
-truncated difference, and sums them per item with damping (parallel expectation propagation). The marginals converge
-to one mean and variance per item; the ranking goes by mean - 3 deviations, so that items with few comparisons are
+truncated difference, and sums them per item with damping (parallel expectation propagation), until the largest change
+of any mean in a round is below a tolerance; the ranking goes by mean - 3 deviations, so that items with few comparisons are
 not placed by luck. A round is two joins of edges with items and one partial aggregation; an item with a third of all
 comparisons has no more edges than there are other items.
 
@@ -15,7 +15,7 @@ comparison keep the prior; ties in the bound go to the smaller name.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.ranking import global_rank
@@ -24,61 +24,63 @@ from .name_variants import school_clusters
 from .survivor import _mechanical, with_schools
 
 PRIOR_MEAN, PRIOR_SD, BETA = 25.0, 25.0 / 3, 25.0 / 6
-ROUNDS, DAMPING = 14, 0.6
-
-
-def _phi_ratio(t: Column) -> Column:
-    """φ(t) / Φ(t) by the rational approximation of the error function (absolute error of Φ below 1e-7)."""
-    a = F.abs(t)
-    k = 1 / (1 + 0.2316419 * a)
-    pdf = F.exp(-t * t / 2) * 0.3989422804014327
-    tail = pdf * k * (0.319381530 + k * (-0.356563782 + k * (1.781477937 + k * (-1.821255978 + k * 1.330274429))))
-    cdf = F.when(t >= 0, 1 - tail).otherwise(tail)
-    return F.when(t < -6, -t - 1 / t).otherwise(pdf / F.greatest(cdf, F.lit(1e-12)))
-
-
-def infer_skills(edges: DataFrame, items: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(item, mu, sigma). edges: (winner, loser, n); items: (item)."""
-    p0 = 1 / PRIOR_SD**2
-    marginal = items.select("item", F.lit(p0).alias("pi"), F.lit(p0 * PRIOR_MEAN).alias("tau"))
-    # messages of one comparison of the edge: precision and precision times mean, to winner and loser
-    sites = checkpointed(edges.select("winner", "loser", F.col("n").cast("double").alias("n"), *[F.lit(0.0).alias(c) for c in ("wp", "wt", "lp", "lt")]))
-    for k in range(rounds):
-        w = marginal.select(F.col("item").alias("winner"), F.col("pi").alias("w_pi"), F.col("tau").alias("w_tau"))
-        l = marginal.select(F.col("item").alias("loser"), F.col("pi").alias("l_pi"), F.col("tau").alias("l_tau"))
-        both = sites.join(w, "winner").join(l, "loser")
-        floor = F.lit(p0 * 0.2)
-        cav = both.select(
-            "winner", "loser", "n", "wp", "wt", "lp", "lt",
-            F.greatest(F.col("w_pi") - F.col("wp"), floor).alias("wcp"), (F.col("w_tau") - F.col("wt")).alias("wct"),
-            F.greatest(F.col("l_pi") - F.col("lp"), floor).alias("lcp"), (F.col("l_tau") - F.col("lt")).alias("lct"),
-        )
-        c = (
-            cav.withColumn("wv", 1 / F.col("wcp")).withColumn("lv", 1 / F.col("lcp"))
-            .withColumn("wm", F.col("wct") * F.col("wv")).withColumn("lm", F.col("lct") * F.col("lv"))
-            .withColumn("cc", F.sqrt(F.col("wv") + F.col("lv") + 2 * BETA**2))
-        )
-        c = c.withColumn("t", (F.col("wm") - F.col("lm")) / F.col("cc"))
-        c = c.withColumn("v", _phi_ratio(F.col("t"))).withColumn("w", F.least(F.lit(0.999999), F.greatest(F.lit(1e-9), F.col("v") * (F.col("v") + F.col("t")))))
-        out = []
-        for side, sign in (("w", 1), ("l", -1)):
-            var, mean = F.col(f"{side}v"), F.col(f"{side}m")
-            new_var = var * (1 - var / (F.col("cc") * F.col("cc")) * F.col("w"))
-            new_mean = mean + sign * var / F.col("cc") * F.col("v")
-            p = F.greatest(1 / new_var - F.col(f"{side}cp"), F.lit(1e-9))
-            t = new_mean / new_var - F.col(f"{side}ct")
-            out += [(DAMPING * p + (1 - DAMPING) * F.col(f"{side}p")).alias(f"{side}p"), (DAMPING * t + (1 - DAMPING) * F.col(f"{side}t")).alias(f"{side}t")]
-        sites = checkpointed(c.select("winner", "loser", "n", *out))
-        sums = (
-            sites.select(F.col("winner").alias("item"), (F.col("wp") * F.col("n")).alias("p"), (F.col("wt") * F.col("n")).alias("t"))
-            .unionByName(sites.select(F.col("loser").alias("item"), (F.col("lp") * F.col("n")).alias("p"), (F.col("lt") * F.col("n")).alias("t")))
-            .groupBy("item").agg(F.sum("p").alias("p"), F.sum("t").alias("t"))
-        )
-        marginal = items.join(sums, "item", "left").select(
-            "item", (p0 + F.coalesce("p", F.lit(0.0))).alias("pi"), (p0 * PRIOR_MEAN + F.coalesce("t", F.lit(0.0))).alias("tau")
-        )
-        marginal = checkpointed(marginal)
-    return marginal.select("item", (F.col("tau") / F.col("pi")).alias("mu"), (1 / F.sqrt("pi")).alias("sigma"))
+PRECISION = 1 / PRIOR_SD**2
+DAMPING = 0.8
+TOLERANCE = 0.01  # of a mean in one round, a thousandth of the prior's deviation
+CHECK, MOST = 3, 120  # rounds between two looks at the change, rounds in all
+
+
+# φ(t) / Φ(t) with the rational approximation of the error function (absolute error of Φ below 1e-7), in steps
+_STEPS = [
+    ["1 / wcp as wv", "1 / lcp as lv"],
+    ["wct * wv as wm", "lct * lv as lm", f"sqrt(wv + lv + {2 * BETA**2}d) as cc"],
+    ["(wm - lm) / cc as t"],
+    ["exp(-t * t / 2) * 0.3989422804014327d as pdf", "1 / (1 + 0.2316419d * abs(t)) as k"],
+    ["pdf * k * (0.319381530d + k * (-0.356563782d + k * (1.781477937d + k * (-1.821255978d + k * 1.330274429d)))) as tail"],
+    ["case when t < -6 then -t - 1 / t else pdf / greatest(case when t >= 0 then 1 - tail else tail end, 1e-12d) end as v"],
+    ["least(0.999999d, greatest(1e-9d, v * (v + t))) as w"],
+    ["wv * (1 - wv / (cc * cc) * w) as wn", "lv * (1 - lv / (cc * cc) * w) as ln"],
+    ["greatest(1 / wn - wcp, 1e-9d) as wp1", "(wm + wv / cc * v) / wn - wct as wt1", "greatest(1 / ln - lcp, 1e-9d) as lp1", "(lm - lv / cc * v) / ln - lct as lt1"],
+]
+_MESSAGES = ("wp", "wt", "lp", "lt")
+_ENDS = "explode(array(struct(winner as item, {wp} * n as p, {wt} * n as t), struct(loser as item, {lp} * n as p, {lt} * n as t))) as e"
+
+
+def _sums(sites: DataFrame, suffix: str = "") -> DataFrame:
+    """(item, pi, tau) of every item with a comparison: the prior and all messages to it."""
+    ends = sites.selectExpr(_ENDS.format(**{m: m + suffix for m in _MESSAGES})).selectExpr("e.item", "e.p", "e.t")
+    return ends.groupBy("item").agg(F.expr(f"sum(p) + {PRECISION}d as pi"), F.expr(f"sum(t) + {PRECISION * PRIOR_MEAN}d as tau"))
+
+
+def _round(sites: DataFrame) -> DataFrame:
+    """All messages anew from the marginals, damped; the messages of before stay as wp0, wt0, lp0, lt0."""
+    m = _sums(sites)
+    both = sites.join(m.selectExpr("item as winner", "pi as w_pi", "tau as w_tau"), "winner").join(m.selectExpr("item as loser", "pi as l_pi", "tau as l_tau"), "loser")
+    c = both.selectExpr(
+        "winner", "loser", "n", *_MESSAGES, f"greatest(w_pi - wp, {PRECISION * 0.2}d) as wcp", "w_tau - wt as wct", f"greatest(l_pi - lp, {PRECISION * 0.2}d) as lcp", "l_tau - lt as lct"
+    )
+    for step in _STEPS:
+        c = c.selectExpr("*", *step)
+    return c.selectExpr("winner", "loser", "n", *[f"{DAMPING}d * {m}1 + {1 - DAMPING}d * {m} as {m}" for m in _MESSAGES], *[f"{m} as {m}0" for m in _MESSAGES])
+
+
+def infer_skills(edges: DataFrame, items: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
+    """(item, mu, sigma). edges: (winner, loser, n); items: (item). Rounds go on until none of the means moves by the
+    tolerance in the last one; more than `MOST` rounds are an error."""
+    sites = checkpointed(edges.selectExpr("winner", "loser", "cast(n as double) as n", *[f"0d as {m}" for m in _MESSAGES]))
+    for k in range(MOST):
+        sites = checkpointed(_round(sites))
+        if k % CHECK < CHECK - 1:
+            continue
+        # what the last round moved
+        now, before = _sums(sites).selectExpr("item", "tau / pi as mu"), _sums(sites, "0").selectExpr("item", "tau / pi as mu0")
+        change = now.join(before, "item").selectExpr("max(abs(mu - mu0)) as c").first().c or 0.0
+        if change < tolerance:
+            break
+    else:
+        raise RuntimeError(f"the skills still move by {change} after {MOST} rounds")
+    full = items.join(_sums(sites), "item", "left")
+    return full.selectExpr("item", f"coalesce(tau / pi, {PRIOR_MEAN}d) as mu", f"1 / sqrt(coalesce(pi, {PRECISION}d)) as sigma")
 
 
 def outcomes(matches: DataFrame, clusters: DataFrame) -> DataFrame:
