@@ -107,7 +107,12 @@ class TreeEncoder:
         return out
 
     def count(self, text: str | None) -> int:
-        return len(self.encode(text))
+        if not text:
+            return 0
+        if len(text) <= self.leaf:
+            cache, miss = self.cache, self._ids
+            return sum(len(cache.get(token) or miss(token)) for token in self.pattern.findall(text))
+        return sum(map(len, self.encode_tree(text).ids))
 
     def decode(self, ids: list[int]) -> str:
         """Bytes of the ids, concatenated up the tree."""

@@ -328,11 +328,49 @@ def test_skills_recover_order(spark):
         rows.append((f"i{a:02d}", f"i{b:02d}") if win else (f"i{b:02d}", f"i{a:02d}"))
     e = spark.createDataFrame(rows, "winner string, loser string").groupBy("winner", "loser").agg(F.count("*").alias("n"))
     items = spark.createDataFrame([(f"i{k:02d}",) for k in range(12)] + [("new",)], "item string")
-    got = {r.item: (r.mu, r.sigma) for r in skill.infer_skills(e, items, 10).collect()}
+    got = {r.item: (r.mu, r.sigma) for r in skill.infer_skills(e, items).collect()}
     order = sorted((k for k in got if k != "new"), key=lambda k: got[k][0])
     assert sum(abs(order.index(k) - int(k[1:])) for k in order) <= 8
     assert got["new"] == pytest.approx((25.0, 25 / 3))
     assert all(s < 25 / 3 for k, (_, s) in got.items() if k != "new")
+    want = serial_skills([(r.winner, r.loser, r.n) for r in e.collect()])
+    assert all(abs(got[k][0] - m) < 0.1 and abs(got[k][1] - s) < 0.02 for k, (m, s) in want.items())
+
+
+def serial_skills(edges):
+    """Expectation propagation one comparison after another, without damping, until nothing moves."""
+    from math import erf, exp, pi, sqrt
+
+    p0 = 1 / skill.PRIOR_SD**2
+    edges = [(w, l) for w, l, n in edges for _ in range(n)]
+    marginal = {x: [p0, p0 * skill.PRIOR_MEAN] for e in edges for x in e}
+    sites = [[0.0, 0.0, 0.0, 0.0] for _ in edges]
+    for _ in range(200):
+        moved = 0.0
+        for (w, l), s in zip(edges, sites, strict=True):
+            cp, ct = [marginal[w][0] - s[0], marginal[l][0] - s[2]], [marginal[w][1] - s[1], marginal[l][1] - s[3]]
+            var, mean = [1 / p for p in cp], [t / p for t, p in zip(ct, cp, strict=True)]
+            c = sqrt(var[0] + var[1] + 2 * skill.BETA**2)
+            t = (mean[0] - mean[1]) / c
+            v = exp(-t * t / 2) / sqrt(2 * pi) / (0.5 * (1 + erf(t / sqrt(2))))
+            f = v * (v + t)
+            for k, (x, sign) in enumerate(((w, 1), (l, -1))):
+                nv = var[k] * (1 - var[k] / c**2 * f)
+                nm = mean[k] + sign * var[k] / c * v
+                s[2 * k], s[2 * k + 1] = 1 / nv - cp[k], nm / nv - ct[k]
+                moved = max(moved, abs(nm - marginal[x][1] / marginal[x][0]))
+                marginal[x] = [1 / nv, nm / nv]
+        if moved < 1e-6:
+            break
+    return {x: (t / p, p**-0.5) for x, (p, t) in marginal.items()}
+
+
+def test_skills_of_nothing_and_of_an_endless_row(spark, monkeypatch):
+    none = spark.createDataFrame([], "winner string, loser string, n bigint")
+    assert [(r.item, r.mu) for r in skill.infer_skills(none, spark.createDataFrame([("a",)], "item string")).collect()] == [("a", 25.0)]
+    monkeypatch.setattr(skill, "MOST", 3)
+    with pytest.raises(RuntimeError):
+        skill.infer_skills(spark.createDataFrame([("a", "b", 3)], "winner string, loser string, n bigint"), spark.createDataFrame([("a",), ("b",)], "item string"), -1.0)
 
 
 def test_outcomes(spark):
@@ -365,10 +403,19 @@ def test_encode_corpus(spark):
 @given(st.lists(st.integers(0, 100), max_size=120), st.integers(2, 20))
 def test_vector_best_fit_keeps_every_limit(sizes, documents):
     s = np.array(sorted(sizes, reverse=True), int)
-    where = packing.vector_best_fit(s, 100, documents, 6000.0 if max(sizes, default=0) <= 77 else 10000.0)
+    where = packing.vector_best_fit(s, 100, documents, 6000.0)
     for c in set(where.tolist()):
         part = s[where == c]
         assert part.sum() <= 100 and len(part) <= documents
+        assert (part.astype(float) ** 2).sum() <= 6000 or len(part) == 1
+
+
+def test_attention_cost_refuses_an_item():
+    s = np.array([80, 20, 20])
+    assert len(set(packing.vector_best_fit(s, 100, 10, 10000.0).tolist())) == 2  # 80 and 20 fit in tokens
+    apart = packing.vector_best_fit(s, 100, 10, 6500.0)
+    assert apart[0] != apart[1] == apart[2]  # 6400 + 400 is too much attention
+    assert len(set(packing.vector_best_fit(np.array([90, 0]), 100, 10, 6500.0).tolist())) == 2  # alone, if above by itself
 
 
 def test_pack(spark):
