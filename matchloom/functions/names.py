@@ -15,8 +15,9 @@ from pyspark.sql import types as T
 
 SPACE = "[\\s　 ]"
 # Prefixes of owners, suffixes of schools, older ideographs.
-OWNER = "^(東京都立|都立|私立|国立|市立|都・|私・|国・|都(?![市・])(?=..))"
-SCHOOL = "(?<=.)(高等学校|高校)$"
+OWNER = "^(東京都立|都立|都・|国立|国・|私立|私・|区立)(?=.)"
+OWNER_SHORT = "^都(?=[^市・])(?=..)"
+SCHOOL = "(高等学校|高校|高等科)$"
 OLD, NEW = "國學髙﨑", "国学高崎"
 
 
@@ -28,7 +29,7 @@ def nfkc(names: pd.Series) -> pd.Series:
 def normalize(name: Column) -> Column:
     """T1 without aliases: compatibility form, no brackets, spaces, owner or school suffix; ケ between ideographs is ヶ."""
     s = F.regexp_replace(nfkc(F.trim(name)), r"[(（][^()（）]*[)）]", "")
-    s = F.regexp_replace(F.regexp_replace(s, SPACE, ""), OWNER, "")
+    s = F.regexp_replace(F.regexp_replace(F.regexp_replace(s, SPACE, ""), OWNER, ""), OWNER_SHORT, "")
     s = F.regexp_replace(F.regexp_replace(s, SCHOOL, ""), "(?<=[一-龥])ケ(?=[一-龥])", "ヶ")
     return F.translate(s, OLD, NEW)
 
@@ -42,20 +43,32 @@ def with_aliases(df, name: str, aliases, out: str):
     return cleaned.join(one, name, "left").join(two, "_clean", "left").withColumn(out, F.coalesce("_raw_hit", "_clean_hit", "_clean")).drop("_raw_hit", "_clean_hit", "_clean")
 
 
+FULL_WIDTH, HALF_WIDTH = "ＡＢＣＤＥＦＧＨＩＪ", "ABCDEFGHIJ"
+
+
 def squad_of(name: Column) -> tuple[Column, Column]:
-    """(base, squad A-J); clubs ending in FC or SC, names in ASCII alone and U-15..18 keep their letters."""
-    guard = name.rlike(r"(FC|SC|F\.C\.)$") | name.rlike(r"^[\x00-\x7F]+$") | name.rlike(r"U-?1[5-8]$")
-    bracket = F.regexp_extract(name, r"[(（]([A-J])\d?[)）]$", 1)
-    tail = F.regexp_extract(name, r"(?<=[^A-Za-z])([B-J])$", 1)
-    squad = F.when(bracket != "", bracket).when(~guard & (tail != ""), tail).otherwise("A")
-    base = F.when(bracket != "", F.regexp_replace(name, r"\s*[(（][A-J]\d?[)）]$", "")).when(~guard & (tail != ""), F.regexp_replace(name, r"[B-J]$", "")).otherwise(name)
-    return F.trim(base), squad
+    """(base, squad A-J), a last letter of either width; clubs ending in FC or SC, names in ASCII alone and U-15..18
+    keep their letters."""
+    n = F.trim(name)
+    pattern = r"^(.+?)[\s・]?([A-JＡ-Ｊ])$"
+    base, letter = F.trim(F.regexp_extract(n, pattern, 1)), F.regexp_extract(n, pattern, 2)
+    guard = n.rlike(r"(?i)(FC|SC|F\.C)$") | base.rlike(r"^[\x00-\x7F]*$") | base.rlike(r"(?i)(U-?1[5-8]|FC|F\.C)$")
+    split = ~guard & (letter != "")
+    return F.when(split, base).otherwise(n), F.when(split, F.translate(letter, FULL_WIDTH, HALF_WIDTH)).otherwise("A")
 
 
 def split_side(name: Column) -> tuple[Column, Column]:
-    """T4: another splitter: any letter, a base of at least two characters, empty by default."""
-    tail = F.regexp_extract(name, r"^..+?([A-Z])$", 1)
-    return F.when(tail != "", F.regexp_replace(name, r"[A-Z]$", "")).otherwise(name), tail
+    """T4: another splitter: any letter of either width, a base of at least two characters, empty by default; the base is
+    normalised."""
+    tail = F.regexp_extract(F.trim(name), r"^(..+?)([A-ZＡ-Ｚ])$", 2)
+    base = F.when(tail != "", F.regexp_extract(F.trim(name), r"^(..+?)([A-ZＡ-Ｚ])$", 1)).otherwise(name)
+    wide = "".join(chr(c) for c in range(0xFF21, 0xFF3B))
+    return normalize(base), F.translate(tail, wide, "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+
+
+def team_key(name: Column, school: Column, squad: Column, known: Column) -> Column:
+    """T5: a known school's first side is the school, another squad carries its letter, a club is its name without spaces."""
+    return F.when(known, F.when(squad == "A", school).otherwise(F.concat(school, F.lit("（"), squad, F.lit("）")))).otherwise(F.regexp_replace(name, SPACE, ""))
 
 
 def split_stage(stage: Column) -> tuple[Column, Column]:
@@ -68,15 +81,15 @@ def join_stage(edition: Column, rest: Column) -> Column:
     return F.when(edition.isNull(), rest).otherwise(F.concat(F.lit("第"), edition.cast("string"), F.lit("回 "), rest))
 
 
-def level_of(league: Column) -> Column:
-    """Tier of a league's name: prince, T, district with its division."""
-    division = F.regexp_extract(league, r"(\d)部", 1)
-    return F.when(league.contains("プリンス"), F.concat(F.lit("P"), division)).when(league.rlike("^T"), "T").when(league.contains("地区"), F.concat(F.lit("D"), division)).otherwise("?")
+def level_of(league: Column, division: Column) -> Column:
+    """Tier of a league: プリンス, T1 to T5, 1部 to 3部, else 地区."""
+    part = F.regexp_extract(F.coalesce(division, F.lit("")), "^([1-3])部", 1)
+    return F.when(league.startswith("プリンス"), "プリンス").when(league.rlike("^T[1-5]$"), league).when(part != "", F.concat(part, F.lit("部"))).otherwise("地区")
 
 
 def broken(name: Column) -> Column:
-    """Digits or punctuation in a name, or fewer than one or more than twelve characters."""
-    return name.rlike(r"[0-9!-/:-@\[-`{-~。、]") | (F.char_length(name) > 12) | (F.char_length(name) < 1)
+    """A digit, bracket, comma, stop, ※ or ・ in a name, or fewer than one or more than twelve characters."""
+    return name.rlike("[0-9()（）,、。※・]") | (F.char_length(name) > 12) | (F.char_length(name) < 1)
 
 
 def score_text(sa: Column, sb: Column, pa: Column, pb: Column, extra: Column) -> Column:

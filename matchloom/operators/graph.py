@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 def edges(views: DataFrame) -> DataFrame:
     """Oriented edges; parallel edges stay, self-edges go; d is the goal difference clamped to 5, 0 after
     penalties."""
-    pk = F.col("pf").isNotNull() | F.col("pg").isNotNull()
+    pk = F.col("pf").isNotNull() & F.col("pg").isNotNull()
     d = F.when(pk, 0).otherwise(F.greatest(F.lit(-5), F.least(F.lit(5), F.col("gf") - F.col("ga"))))
     return views.where("opp is not null and me <> opp").select("seq", "season", F.col("me").alias("x"), F.col("opp").alias("y"), d.alias("d"), "res")
 
@@ -20,7 +20,7 @@ HOP_WEIGHT = {1: 1.0, 2: 0.5, 3: 0.25}
 
 def paths(e: DataFrame, me: str, opp: str, season: int, hops: int = 3) -> DataFrame:
     """Paths of one to `hops` contests between two sides: weight of the length times 0.7 per year of age of each
-    contest, implied difference as the sum, intermediates other than the ends.
+    contest, rounded to 4 places, implied difference as the sum, intermediates other than the ends.
 
     The two ends are filtered before any join, so the middle join sees only edges next to one of them.
     """
@@ -38,7 +38,7 @@ def paths(e: DataFrame, me: str, opp: str, season: int, hops: int = 3) -> DataFr
         mid = w.where((F.col("x") != me) & (F.col("x") != opp) & (F.col("y") != me) & (F.col("y") != opp)).select(F.col("x").alias("mx"), F.col("y").alias("my"), F.col("d").alias("dm"), F.col("w").alias("wm"), F.col("seq").alias("sm"))
         three = f.join(mid, F.col("m1") == F.col("mx")).join(l, F.col("my") == F.col("m2"))
         out = out.unionByName(three.select(F.lit(3).alias("hops"), "m1", "m2", (F.lit(HOP_WEIGHT[3]) * F.col("w1") * F.col("wm") * F.col("w2")).alias("weight"), (F.col("d1") + F.col("dm") + F.col("d2")).alias("implied"), F.concat_ws("-", "s1", "sm", "s2").alias("path")))
-    return out
+    return out.withColumn("weight", F.round("weight", 4))
 
 
 def path_summary(p: DataFrame) -> DataFrame:
@@ -46,11 +46,11 @@ def path_summary(p: DataFrame) -> DataFrame:
     return p.agg(
         F.count("*").alias("n"), F.count_if(F.col("hops") == 1).alias("direct"), F.count_if(F.col("hops") == 2).alias("two"), F.count_if(F.col("hops") == 3).alias("three"),
         F.count_if(F.col("implied") > 0).alias("up"), F.count_if(F.col("implied") < 0).alias("down"), F.count_if(F.col("implied") == 0).alias("even"),
-        F.try_divide(F.sum(F.col("weight") * F.col("implied")), F.sum("weight")).alias("mean"),
+        F.try_divide(F.sum(F.col("weight") * F.col("implied")), F.sum("weight")).alias("mean"), F.sum("weight").alias("total"),
     )
 
 
-def path_pick(p: DataFrame, n: int = 10) -> DataFrame:
+def path_pick(p: DataFrame, n: int = 8) -> DataFrame:
     """The heaviest path of each chain of intermediates, then the n heaviest."""
     w = Window.partitionBy("hops", "m1", "m2").orderBy(F.col("weight").desc(), F.abs("implied").desc(), "path")
     return p.withColumn("k", F.row_number().over(w)).where("k = 1").drop("k").orderBy(F.round("weight", 9).desc(), F.abs("implied").desc(), "path").limit(n)

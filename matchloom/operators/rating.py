@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .records import round_rank, stage_tier
+from ..functions.names import level_of, team_key
+from .perspective import PLAYED
 
 
 @dataclass(frozen=True)
@@ -29,7 +30,8 @@ class Config:
     mean: float = 1500.0
     league_weight: float = 0.5
     provisional: int = 10
-    reserve_step: float = 100.0
+    reserve_step: float = 100.0  # 0: a reserve starts like anyone else
+    tiers: bool = True  # sides first seen in a league start by its tier
 
 
 def win_prob(ea: Column, eb: Column) -> Column:
@@ -42,23 +44,68 @@ def margin_mult(m: Column) -> Column:
     return F.when(m <= 1, 1.0).when(m == 2, 1.5).otherwise((11 + m) / 8)
 
 
+# The order of the stages of a season with the day assumed for each, that of the rounds, and the first
+# rating of a league's sides by its tier.
+STAGES = [("関東", "", 401), ("総体", "支部予選", 425), ("総体", "一次", 510), ("総体", "二次", 525), ("選手権", "一次", 901), ("選手権", "二次", 1015), ("新人戦", "", 1115)]
+ROUNDS = {"3位決定戦": 90, "決勝": 80, "ブロック決勝": 70, "準決勝": 60, "準々決勝": 50}
+TIERS = {"プリンス": 300.0, "T1": 200.0, "T2": 150.0, "T3": 100.0, "T4": 50.0, "T5": 0.0, "1部": -50.0, "2部": -100.0, "3部": -150.0, "地区": -100.0}
+UNKNOWN_STAGE = (99, 401)
+
+
+def _stage(pick: int) -> Column:
+    out = None
+    for k, (series, part, day) in enumerate(STAGES):
+        cond = (F.col("series") == series) & F.col("stage").contains(part)
+        value = F.lit((k, day)[pick])
+        out = F.when(cond, value) if out is None else out.when(cond, value)
+    return out.otherwise(UNKNOWN_STAGE[pick])
+
+
+def event_round(col: Column) -> Column:
+    """T13 for the events: 3位決定戦 last, then 決勝; the number of a numbered round, else 0."""
+    named = F.element_at(F.create_map(*[F.lit(x) for kv in ROUNDS.items() for x in kv]), col)
+    return F.coalesce(named, F.regexp_extract(col, r"^(\d+)回戦", 1).try_cast("int"), F.lit(0))
+
+
 def cup_events(g: DataFrame) -> DataFrame:
-    """Played contests in order of date (own, else the earliest of the stage, else the season's end), stage,
-    round and file order."""
+    """Played contests of all contests g, in order of date (own, else the earliest of the stage's contests, played
+    or not, else the stage's usual day), stage, round and file order."""
     pattern = r"^(\d{1,2})/(\d{1,2})"
     mm = F.regexp_extract("date_text", pattern, 1).try_cast("int")
     dd = F.regexp_extract("date_text", pattern, 2).try_cast("int")
     own = F.when(F.col("date_text").rlike(pattern), (F.col("season") + F.when(mm < 4, 1).otherwise(0)) * 10000 + mm * 100 + dd)
-    e = g.where("a is not null and b is not null and a <> b").withColumn("own", own)
-    first = F.min("own").over(Window.partitionBy("season", "series", "stage", "area"))
+    e = g.withColumn("own", own)
+    e = e.withColumn("first", F.min("own").over(Window.partitionBy("season", "series", "stage", "area")))
+    e = e.where(F.col("status").isin(*PLAYED) & F.col("sa").isNotNull() & F.col("sb").isNotNull() & F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
     return e.select(
-        "seq", "season", "a", "b", "sa", "sb", F.coalesce("own", first, (F.col("season") + 1) * 10000 + 399).alias("day"), F.lit(0).alias("kind"),
-        stage_tier(F.col("stage")).alias("st"), round_rank(F.col("round")).alias("rr"), (F.col("pa").isNotNull() | F.col("pb").isNotNull()).alias("pk"),
+        "seq", "season", "a", "b", "sa", "sb", F.coalesce("own", "first", F.col("season") * 10000 + _stage(1)).alias("day"), F.lit(0).alias("kind"),
+        _stage(0).alias("st"), event_round(F.col("round")).alias("rr"), (F.col("pa").isNotNull() & F.col("pb").isNotNull()).alias("pk"), F.lit(None).cast("string").alias("level"),
+    )
+
+
+def league_events(feed: DataFrame, schools: DataFrame) -> DataFrame:
+    """Dated and played league contests; those of a day come after its cup contests.
+
+    feed: (seq, season, league, division, matchday, date, played, home, home_school, home_squad, away, away_school,
+    away_squad, hs, as_); schools: (school), those that occur in cups. Rows without a key on a side, or with one key on both,
+    are left out.
+    """
+    known = schools.select(F.col("school"), F.lit(True).alias("known")).distinct()
+    f = feed.where("played and hs is not null and as_ is not null").withColumn("on", F.to_date(F.regexp_extract("date", r"^\d{4}-\d{2}-\d{2}", 0).try_cast("date"))).where("on is not null")
+    for side in ("home", "away"):
+        f = f.join(known.withColumnsRenamed({"school": f"{side}_school", "known": f"{side}_known"}), f"{side}_school", "left")
+    key = lambda s: F.nullif(team_key(F.col(s), F.col(f"{s}_school"), F.col(f"{s}_squad"), F.coalesce(f"{s}_known", F.lit(False))), F.lit(""))
+    day = F.year("on") * 10000 + F.month("on") * 100 + F.dayofmonth("on")
+    section = F.coalesce(F.regexp_replace(F.col("matchday").cast("string"), r"\D", "").try_cast("int"), F.lit(0))
+    e = f.select(
+        "seq", "season", key("home").alias("a"), key("away").alias("b"), F.col("hs").alias("sa"), F.col("as_").alias("sb"), day.alias("day"), F.lit(1).alias("kind"), F.lit(0).alias("st"),
+        section.alias("rr"), F.lit(False).alias("pk"), level_of(F.col("league"), F.col("division")).alias("level"),
     )
+    return e.where("a is not null and b is not null and a <> b")
 
 
 _OUT = "config_id int, seq bigint, season int, a string, b string, ea double, eb double, p double, s double, na int, nb int, post_a double, post_b double"
-_IN = ("config_id", "seq", "season", "a", "b", "sa", "sb", "pk", "kind")
+_IN = ("config_id", "seq", "season", "a", "b", "sa", "sb", "pk", "kind", "level")
 _NAMES = [c.split()[0] for c in _OUT.split(", ")]
 _TYPES = [pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.string(), *[pa.float64()] * 4, pa.int32(), pa.int32(), pa.float64(), pa.float64()]
 
@@ -69,13 +116,14 @@ class Fold:
     def __init__(self, config: dict):
         self.c, self.elo, self.games, self.season = config, {}, {}, None
 
-    def start(self, side: str) -> float:
-        """E5: a reserve starts below its school's first side, anyone else at the mean."""
-        if len(side) > 3 and side.endswith("）") and side[-3] == "（" and "B" <= side[-2] <= "J" and side[:-3] in self.elo:
-            return self.elo[side[:-3]] - self.c["reserve_step"] * (ord(side[-2]) - ord("A"))
-        return self.c["mean"]
+    def start(self, side: str, kind: int, level: str | None) -> float:
+        """E5: a reserve starts below its school's first side, a side first seen in a league by the tier, else the mean."""
+        step = self.c["reserve_step"]
+        if step and len(side) > 3 and side.endswith("）") and side[-3] == "（" and "B" <= side[-2] <= "J" and side[:-3] in self.elo:
+            return self.elo[side[:-3]] - step * (ord(side[-2]) - ord("A"))
+        return self.c["mean"] + (TIERS.get(level, 0.0) if kind and self.c["tiers"] else 0.0)
 
-    def step(self, season: int, a: str, b: str, sa: int, sb: int, pk: bool, kind: int) -> tuple:
+    def step(self, season: int, a: str, b: str, sa: int, sb: int, pk: bool, kind: int, level: str | None = None) -> tuple:
         c, elo, games = self.c, self.elo, self.games
         if self.season is not None and season != self.season and c["carry"] != 1:
             for t in elo:
@@ -83,7 +131,7 @@ class Fold:
         self.season = season
         for t in (a, b):
             if t not in elo:
-                elo[t], games[t] = self.start(t), 0
+                elo[t], games[t] = self.start(t, kind, level), 0
         ea, eb, na, nb = elo[a], elo[b], games[a], games[b]
         p = 1 / (1 + 10 ** ((eb - ea) / 400))
         s = 0.5 if pk or sa == sb else 1.0 if sa > sb else 0.0
@@ -105,16 +153,16 @@ def rating_fold(events: DataFrame, configs: list[Config]) -> DataFrame:
     spark = events.sparkSession
     table = spark.createDataFrame([(c.config_id,) for c in configs], "config_id int")
     by_id = {c.config_id: asdict(c) for c in configs}
-    full = events.select("seq", "season", "a", "b", "sa", "sb", "day", "kind", "st", "rr", "pk").crossJoin(F.broadcast(table))
+    full = events.select("seq", "season", "a", "b", "sa", "sb", "day", "kind", "st", "rr", "pk", "level").crossJoin(F.broadcast(table))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fold, current = None, None
         for batch in batches:
             out = []
-            for cid, seq, season, a, b, sa, sb, pk, kind in zip(*[batch.column(c).to_pylist() for c in _IN], strict=True):
+            for cid, seq, season, a, b, sa, sb, pk, kind, level in zip(*[batch.column(c).to_pylist() for c in _IN], strict=True):
                 if cid != current:
                     fold, current = Fold(by_id[cid]), cid
-                out.append((cid, seq, season, a, b, *fold.step(season, a, b, sa, sb, pk, kind)))
+                out.append((cid, seq, season, a, b, *fold.step(season, a, b, sa, sb, pk, kind, level)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), _TYPES, strict=True)], names=_NAMES)
 
@@ -131,12 +179,20 @@ def final_ratings(fold: DataFrame) -> DataFrame:
     return side.groupBy("config_id", "team").agg(F.max_by("r", "n").alias("rating"), (F.max("n") + 1).alias("games"))
 
 
-def rating_history(fold: DataFrame) -> DataFrame:
-    """Rating at the end of each season, change since exactly the season before, rank within the season."""
+def rating_history(fold: DataFrame, carry: float = 1.0, mean: float = 1500.0) -> DataFrame:
+    """The rounded rating of every side seen so far at the end of each season with events, pulled to the mean by
+    `carry` for each such season without events of its own; change since the season before, rank within the season."""
     side = fold.select(F.col("a").alias("team"), "season", F.col("post_a").alias("r"), F.col("na").alias("n")).unionByName(
         fold.select(F.col("b").alias("team"), "season", F.col("post_b").alias("r"), F.col("nb").alias("n"))
     )
-    h = side.groupBy("team", "season").agg(F.max_by("r", "n").alias("rating"))
+    own = side.groupBy("team", "season").agg(F.max_by("r", "n").alias("r"))
+    # seasons are few: their numbers in order
+    seasons = fold.select("season").distinct().withColumn("k", F.row_number().over(Window.orderBy("season")))
+    numbered = own.join(F.broadcast(seasons), "season")
+    last = F.coalesce(F.lead("k").over(Window.partitionBy("team").orderBy("k")) - 1, F.lit(None).cast("int"))
+    spans = numbered.withColumn("until", last).crossJoin(F.broadcast(seasons.agg(F.max("k").alias("end"))))
+    h = spans.select("team", F.col("k").alias("k0"), "r", F.explode(F.sequence("k", F.coalesce("until", "end"))).alias("k")).join(F.broadcast(seasons), "k")
+    h = h.select("team", "season", F.round(F.lit(mean) + (F.col("r") - mean) * F.pow(F.lit(carry), F.col("k") - F.col("k0"))).cast("int").alias("rating"))
     before = h.select("team", (F.col("season") + 1).alias("season"), F.col("rating").alias("before"))
     w = Window.partitionBy("season").orderBy(F.col("rating").desc(), "team")
     return h.join(before, ["team", "season"], "left").select("team", "season", "rating", (F.col("rating") - F.col("before")).alias("delta"), F.row_number().over(w).alias("rank"))

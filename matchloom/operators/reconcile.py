@@ -19,12 +19,12 @@ def is_played() -> Column:
 
 
 def version_dedup(g: DataFrame) -> DataFrame:
-    """Per contest (season, series, stage, round, unordered pair) the first row, or the first played one.
+    """Per contest (season, series, stage, round, unordered pair) the first row, or the first with both scores.
 
     Adds `kept`; rows with a blank side are always kept.
     """
     key = ["season", "series", "stage", "round", F.least("a", "b"), F.greatest("a", "b")]
-    w = Window.partitionBy(*key).orderBy(is_played().desc(), "seq")
+    w = Window.partitionBy(*key).orderBy((F.col("sa").isNotNull() & F.col("sb").isNotNull()).desc(), "seq")
     named = g.where("a is not null and b is not null").withColumn("kept", F.row_number().over(w) == 1)
     blank = g.where("a is null or b is null").withColumn("kept", F.lit(True))
     return named.unionByName(blank)
@@ -55,9 +55,11 @@ def multiset_merge(feeds: DataFrame) -> DataFrame:
 
 def bogus_reads(g: DataFrame, least: int = 8, share: float = 0.30, one_sided: int = 6) -> DataFrame:
     """Per document, scores to retract (one side only; a score pair at least 8 times and 30 % of the complete rows)
-    and winners to retract (all on one side, at least six). Adds `drop_score`, `drop_winner`."""
+    and winners to retract (all on one side, at least six). Adds `drop_score`, `drop_winner` and the remark with what was
+    taken back. Rows with a true `corrected`, where that column exists, are counted but not touched."""
     side = F.when(F.col("winner") == F.col("raw_a"), 1).when(F.col("winner") == F.col("raw_b"), 2)
     d = g.where("doc is not null").withColumn("slot", side)
+    free = ~F.coalesce(F.col("corrected"), F.lit(False)) if "corrected" in g.columns else F.lit(True)
     by_doc, by_pair = Window.partitionBy("doc"), Window.partitionBy("doc", "sa", "sb")
     whole = F.col("sa").isNotNull() & F.col("sb").isNotNull()
     n_pair = F.when(whole, F.count("*").over(by_pair))
@@ -65,9 +67,9 @@ def bogus_reads(g: DataFrame, least: int = 8, share: float = 0.30, one_sided: in
     partial = F.col("sa").isNull() != F.col("sb").isNull()
     n_win, lo, hi = F.count("slot").over(by_doc), F.min("slot").over(by_doc), F.max("slot").over(by_doc)
     return d.withColumns({
-        "drop_score": partial | F.coalesce((n_pair >= least) & (n_pair >= share * n_whole), F.lit(False)),
-        "drop_winner": F.coalesce(F.col("slot").isNotNull() & (lo == hi) & (n_win >= one_sided), F.lit(False)),
-    })
+        "drop_score": free & (partial | F.coalesce((n_pair >= least) & (n_pair >= share * n_whole), F.lit(False))),
+        "drop_winner": free & F.coalesce(F.col("slot").isNotNull() & (lo == hi) & (n_win >= one_sided), F.lit(False)),
+    }).withColumn("note", F.nullif(F.concat_ws("／", "note", F.when(F.col("drop_score"), "スコアの読み取りを取り消し"), F.when(F.col("drop_winner"), "勝者の読み取りを取り消し")), F.lit("")))
 
 
 def fill_missing(g: DataFrame, external: DataFrame) -> DataFrame:

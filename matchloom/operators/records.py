@@ -24,7 +24,8 @@ def stage_tier(col: Column) -> Column:
 
 
 def series_index(col: Column) -> Column:
-    return F.when(col == "関東", 0).when(col == "総体", 1).when(col == "選手権", 2).when(col == "新人戦", 3).otherwise(9)
+    """O3: 総体, 選手権, 新人戦, 関東."""
+    return F.when(col == "総体", 0).when(col == "選手権", 1).when(col == "新人戦", 2).when(col == "関東", 3).otherwise(9)
 
 
 def standings(views: DataFrame, keys: list[str], tie_break: tuple[str, ...]) -> DataFrame:
@@ -57,11 +58,11 @@ def team_record(g: DataFrame) -> DataFrame:
 
 def summary_rollup(views: DataFrame) -> DataFrame:
     """A3, A5: one pass over three groupings: side, side and season, side and series."""
-    views.createOrReplaceTempView("_views_rollup")
     return views.sparkSession.sql(
         """select me, season, series, count(*) n, count_if(res = '○') w, count_if(res = '△') d, count_if(res = '●') l, sum(gf) gf, sum(ga) ga,
         count_if(ga = 0) clean, count_if(gf = 0) scoreless, count_if(abs(gf - ga) = 1) one_goal, grouping(season) * 2 + grouping(series) level
-        from _views_rollup group by grouping sets ((me), (me, season), (me, series))"""
+        from {views} group by grouping sets ((me), (me, season), (me, series))""",
+        views=views,
     )
 
 

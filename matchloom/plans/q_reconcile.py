@@ -140,7 +140,7 @@ def queries() -> dict:
     )}
 
 
-_DEDUP = f"""with {G}, k as (select *, row_number() over (partition by season, series, stage, round, least(a, b), greatest(a, b) order by coalesce({PLAYED}, false) desc, seq) = 1 kept from games where a is not null and b is not null
+_DEDUP = f"""with {G}, k as (select *, row_number() over (partition by season, series, stage, round, least(a, b), greatest(a, b) order by (sa is not null and sb is not null) desc, seq) = 1 kept from games where a is not null and b is not null
  union all select *, true from games where a is null or b is null)"""
 _FEEDS = f"""with {G}, feeds as (select 'f' || k feed, seq src_seq, season, case when seq % 3 <> k % 3 then date_text end date, case when k % 2 = 0 then b else a end home, case when k % 2 = 0 then a else b end away,
  case when k % 2 = 0 then sb else sa end hs, case when k % 2 = 0 then sa else sb end away_score from games, (select unnest([0, 1, 2, 3, 4]) k) where {PLAYED} and a <> b and (k = 4 or seq % 7 <= k))"""

@@ -120,9 +120,11 @@ def season_islands(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stage_crosstab(spark: SparkSession, d: str) -> DataFrame:
-    """Contests by area and series, pivoted, and areas without any as zero."""
+    """Contests by area and series, with a column for all other series; areas without any as zero."""
     g = P.games(spark, d).where("area is not null")
-    return g.groupBy("area").pivot("series", ["新人戦", "総体", "選手権", "関東"]).agg(F.count("seq")).fillna(0)
+    known = ["新人戦", "総体", "選手権", "関東"]
+    other = F.count_if(~F.coalesce(F.col("series").isin(known), F.lit(False))).alias("その他")
+    return g.groupBy("area").agg(*[F.count_if(F.col("series") == s).alias(s) for s in known], other)
 
 
 def roster_coverage(spark: SparkSession, d: str) -> DataFrame:
@@ -255,7 +257,7 @@ def oracle_sql() -> dict[str, str]:
  select me, sum(w) filter (i <= 5) / sum(n) filter (i <= 5) first_rate, sum(w) filter (j <= 5) / sum(n) filter (j <= 5) last_rate from z where "years" >= 8 group by me""",
         "season_islands": f"""{WITH_ALL}, s as (select distinct me, series, season from views), t as (select *, season - row_number() over (partition by me, series order by season) k from s)
  select me, series, min(season) from_season, max(season) to_season from t group by me, series, k""",
-        "stage_crosstab": f"""with {G} select area, count(*) filter (series = '新人戦') "新人戦", count(*) filter (series = '総体') "総体", count(*) filter (series = '選手権') "選手権",
+        "stage_crosstab": f"""with {G} select area, count(*) filter (series = '新人戦') "新人戦", count(*) filter (series = '総体') "総体", count(*) filter (series = '選手権') "選手権", count(*) filter (series is null or series not in ('新人戦', '総体', '選手権', '関東')) "その他",
  count(*) filter (series = '関東') "関東" from games where area is not null group by area""",
         "roster_coverage": f"""{WITH_ALL} select r.key, r.area, coalesce(n, 0) n from school_roster r left join (select me, count(*) n from views group by me) v on v.me = r.key""",
         "status_counts": f"with {G} select status, count(*) n, min(seq) first_seq from games group by status",
@@ -267,7 +269,7 @@ def oracle_sql() -> dict[str, str]:
  from games where regexp_matches(date_text, '^\\d{{1,2}}/\\d{{1,2}}')), t as (select seq, season, try_cast(printf('%04d-%02d-%02d', season + (case when mm < 4 then 1 else 0 end), mm, dd) as date) date from m)
  select seq, season, date, cast(year(date) - (case when month(date) < 4 then 1 else 0 end) as int) season_back from t where date is not null""",
         "carry_forward": f"""with {G} select seq, doc, last_value(area ignore nulls) over (partition by doc order by seq rows unbounded preceding) carried from games where doc is not null""",
-        "cup_order": f"""with {G}, o as (select seq, season, case series when '関東' then 0 when '総体' then 1 when '選手権' then 2 when '新人戦' then 3 else 9 end si,
+        "cup_order": f"""with {G}, o as (select seq, season, case series when '総体' then 0 when '選手権' then 1 when '新人戦' then 2 when '関東' then 3 else 9 end si,
  case when contains(stage, '二次') or stage = '東京都予選' then 2 when contains(stage, '一次') then 1 else 0 end st from games) select *, row_number() over (partition by season order by si, st, seq) k from o""",
         "upsets": f"""{WITH}, s as ({_SEASON}), j as (select v.season, v.seq, v.me, v.opp, x.rank - y.rank gap from views v join s x on x.season = v.season and x.team = v.me
  join s y on y.season = v.season and y.team = v.opp where v.res = '○' and x.rank > y.rank)

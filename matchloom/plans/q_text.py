@@ -34,7 +34,9 @@ def split_stage(spark: SparkSession, d: str) -> DataFrame:
 
 def league_level(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "prince_kanto1_2026_standings")
-    return s.select("sid", N.level_of(F.col("リーグ")).alias("level"))
+    """The division stands in the league's name here."""
+    division = F.nullif(F.regexp_extract("リーグ", r"(\d部)", 1), F.lit(""))
+    return s.select("sid", N.level_of(F.col("リーグ"), division).alias("level"))
 
 
 def broken_names(spark: SparkSession, d: str) -> DataFrame:
@@ -196,18 +198,38 @@ def queries() -> dict:
 _T = "t as (select user_id page, event_id, value pos, ts, event_type from events where value is not null), l as (select page, event_id l_id, pos l_pos, ts l_ts from t where event_type in ('click', 'view')), r as (select page, event_id r_id, pos r_pos, ts r_ts from t where event_type not in ('click', 'view'))"
 
 
+def _norm(c: str) -> str:
+    """T1 step by step; the case of a name that is an owner's prefix alone stays as it is."""
+    wide = "".join(chr(x) for x in range(0xFF01, 0xFF5F))
+    narrow = "".join(chr(x - 0xFEE0) for x in range(0xFF01, 0xFF5F)).replace("'", "''")
+    x = f"regexp_replace(regexp_replace(translate(trim({c}), '{wide}　', '{narrow} '), '[(（][^()（）]*[)）]', '', 'g'), '\\s', '', 'g')"
+    x = f"regexp_replace({x}, '^(?:東京都立|都立|都・|国立|国・|私立|私・|区立)(.)', '\\1')"
+    x = f"regexp_replace({x}, '^都([^市・].)', '\\1')"
+    x = f"regexp_replace({x}, '(高等学校|高校|高等科)$', '')"
+    for _ in range(2):  # RE2 has no look-around: neighbours that touch need a second pass
+        x = f"regexp_replace({x}, '([一-龥])ケ([一-龥])', '\\1ヶ\\2', 'g')"
+    return f"translate({x}, '國學髙﨑', '国学高崎')"
+
+
 def oracle_sql() -> dict[str, str]:
     s = "prince_kanto1_2026_standings"
     return {
-        # chain of the same cleaning steps; full-width forms do not occur in this column
-        "normalize_name": f"""with {G}, x as (select seq, regexp_replace(regexp_replace(raw_b, '[(（][^()（）]*[)）]', '', 'g'), '\\s', '', 'g') s from games where raw_b is not null),
- y as (select seq, case when regexp_matches(s, '^(東京都立|都立|私立|国立|市立|都・|私・|国・)') then regexp_replace(s, '^(東京都立|都立|私立|国立|市立|都・|私・|国・)', '')
- when regexp_matches(s, '^都[^市・].') then substr(s, 2) else s end s from x), z as (select seq, regexp_replace(s, '(.)(高等学校|高校)$', '\\1') s from y)
- select seq, translate(s, '國學髙﨑', '国学高崎') as name from z""",
+        # SQL has only the canonical composition; the letters and signs of full width that occur are translated
+        "normalize_name": f"""with {G}, n as (select seq, raw_b, {_norm("raw_b")} as name from games where raw_b is not null) select seq, name from n""",
+        "squad_split": f"""with {G}, x as (select seq, trim(raw_b) n, regexp_extract(trim(raw_b), '^(.+?)[\\s・]?([A-JＡ-Ｊ])$', 1) b, regexp_extract(trim(raw_b), '^(.+?)[\\s・]?([A-JＡ-Ｊ])$', 2) l,
+ regexp_extract(trim(raw_b), '^(..+?)([A-ZＡ-Ｚ])$', 1) b2, regexp_extract(trim(raw_b), '^(..+?)([A-ZＡ-Ｚ])$', 2) l2 from games where raw_b is not null),
+ y as (select *, l <> '' and not regexp_matches(n, '(?i)(FC|SC|F\\.C)$') and not regexp_matches(trim(b), '^[\\x00-\\x7F]*$') and not regexp_matches(trim(b), '(?i)(U-?1[5-8]|FC|F\\.C)$') s from x),
+ z as (select *, case when l2 <> '' then b2 else n end r from y)
+ select seq, case when s then trim(b) else n end base, case when s then translate(l, 'ＡＢＣＤＥＦＧＨＩＪ', 'ABCDEFGHIJ') else 'A' end squad, {_norm("r")} base2,
+ translate(l2, 'ＡＢＣＤＥＦＧＨＩＪＫＬＭＮＯＰＱＲＳＴＵＶＷＸＹＺ', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') side from z""",
+        "anchor_rows": """with recursive t as (select user_id page, event_id, value pos from events where value is not null),
+ r as (select page, min(pos) anchor from t group by page union all select r.page, (select min(pos) from t where t.page = r.page and t.pos - r.anchor > 3.5) from r
+ where (select max(pos) from t where t.page = r.page) - r.anchor > 3.5)
+ select page, event_id, cast((select count(*) from r where r.page = t.page and r.anchor <= t.pos) as int) as row from t""",
         "split_stage": f"""with {G} select seq, case when seq % 2 = 0 then season - 1950 end edition, stage rest, true lossless from games""",
-        "league_level": f"""select sid, case when contains("リーグ", 'プリンス') then 'P' || regexp_extract("リーグ", '(\\d)部', 1) when starts_with("リーグ", 'T') then 'T'
- when contains("リーグ", '地区') then 'D' || regexp_extract("リーグ", '(\\d)部', 1) else '?' end as level from {s}""",
-        "broken_names": f"with {G} select seq, b from games where regexp_matches(b, '[0-9!-/:-@\\[-`{{-~。、]') or length(b) > 12 or length(b) < 1",
+        "league_level": f"""select sid, case when starts_with("リーグ", 'プリンス') then 'プリンス' when regexp_matches("リーグ", '^T[1-5]$') then "リーグ" when regexp_extract("リーグ", '(\\d部)', 1) in ('1部', '2部', '3部')
+ then regexp_extract("リーグ", '(\\d部)', 1) else '地区' end as level from {s}""",
+        "broken_names": f"with {G} select seq, b from games where length(translate(b, '0123456789()（）,、。※・', '')) < length(b) or length(b) not between 1 and 12",
         "score_texts": f"""with {G}, x as (select seq, sa || '-' || sb || case when pa is not null and pb is not null then ' (PK ' || pa || '-' || pb || ')' else '' end
  || case when contains(note, '延長') then ' (延長)' else '' end as text, sa, sb from games where sa is not null and sb is not null) select seq, text, sa x, sb y from x""",
         "note_parts": f"""with {G} select seq, nullif(array_to_string(list_filter(string_split(note, '／'), lambda x: not regexp_matches(x, '^(extra:|text:|facing)') and x <> '延長'), '／'), '') note

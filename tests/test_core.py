@@ -131,6 +131,32 @@ def test_rating_fold_against_plain_python(spark):
     assert E.rating_fold(E.cup_events(frame(spark)), [E.Config()]).count() == 0
 
 
+def test_league_events_and_tiers(spark):
+    rows = [(1, 2020, "T1", None, "第2節", "2020-05-01", True, "甲", "甲", "A", "乙 B", "乙", "B", 2, 0), (2, 2020, "T1", None, "3", "2020-04-01", True, "丁クラブ", None, "A", "甲", "甲", "A", 1, 1),
+            (3, 2020, "T1", None, "3", None, True, "甲", "甲", "A", "乙", "乙", "A", 1, 1), (4, 2020, "T1", None, "3", "2020-04-01", False, "甲", "甲", "A", "乙", "乙", "A", 1, 1), (5, 2020, "T1", None, "3", "2020-04-01", True, "甲", "甲", "A", "甲", "甲", "A", 1, 1)]
+    feed = spark.createDataFrame(rows, "seq bigint, season int, league string, division string, matchday string, date string, played boolean, home string, home_school string, home_squad string, away string, away_school string, away_squad string, hs int, as_ int")
+    e = E.league_events(feed, spark.createDataFrame([("甲",), ("乙",)], "school string"))
+    assert sorted((r.seq, r.a, r.b, r.day, r.rr, r.level) for r in e.collect()) == [(1, "甲", "乙（B）", 20200501, 2, "T1"), (2, "丁クラブ", "甲", 20200401, 3, "T1")]
+    got = {r.seq: (r.ea, r.eb) for r in E.rating_fold(e, [E.Config()]).collect()}
+    assert got[2] == (1700.0, 1700.0) and got[1][1] == 1700.0  # all first seen in the T1; 乙 itself is not seen yet
+
+
+def test_rating_history_keeps_idle_sides(spark):
+    rows = [(0, 1, 2018, "甲", "乙", 1500.0, 1500.0, 0.5, 1.0, 0, 0, 1540.0, 1460.4), (0, 2, 2020, "甲", "丙", 1540.0, 1500.0, 0.5, 1.0, 1, 0, 1550.0, 1490.0)]
+    fold = spark.createDataFrame(rows, E._OUT)
+    got = {(r.team, r.season): (r.rating, r.delta) for r in E.rating_history(fold).collect()}
+    assert got == {("甲", 2018): (1540, None), ("乙", 2018): (1460, None), ("甲", 2020): (1550, None), ("乙", 2020): (1460, None), ("丙", 2020): (1490, None)}
+    pulled = {(r.team, r.season): r.rating for r in E.rating_history(fold, carry=0.5).collect()}
+    assert pulled[("乙", 2020)] == 1480
+
+
+def test_bogus_reads_leave_corrected_rows(spark):
+    rows = [game(i, f"甲{i}", "乙", 1, 6, doc="a.pdf") for i in range(9)]
+    g = frame(spark, *rows).withColumn("corrected", F.col("seq") == 3)
+    got = {r.seq: (r.drop_score, r.note) for r in R.bogus_reads(g).collect()}
+    assert not got[3][0] and all(got[i][0] and "スコアの読み取りを取り消し" in got[i][1] for i in got if i != 3)
+
+
 def test_calibration_hole(spark):
     preds = spark.createDataFrame([(0, 0.5, 1.0), (0, 0.05, 0.0), (0, 0.97, 1.0)], "config_id int, p double, s double")
     assert {r.bin: r.n for r in E.calibration(preds).collect()} == {"5-10": 1, "0-5": 1}
@@ -208,8 +234,16 @@ def test_names(spark):
     got = [r[0] for r in df.select(N.normalize(F.col("n"))).collect()]
     assert got[:5] == ["甲ヶ乙", "都市大", None, "", "国際"]
     base, squad = N.squad_of(F.col("n"))
-    got = {(r.n): (r.base, r.squad) for r in spark.createDataFrame([("甲(B)",), ("甲乙C",), ("ABC",), ("甲FC",), ("乙 U-18",)], "n string").select("n", base.alias("base"), squad.alias("squad")).collect()}
-    assert got["甲(B)"] == ("甲", "B") and got["甲乙C"] == ("甲乙", "C") and got["ABC"] == ("ABC", "A") and got["甲FC"] == ("甲FC", "A")
+    got = {(r.n): (r.base, r.squad) for r in spark.createDataFrame([("甲(B)",), ("甲乙C",), ("ABC",), ("甲FC",), ("乙 U-18",), ("芝Ｂ",), ("丙・C",)], "n string").select("n", base.alias("base"), squad.alias("squad")).collect()}
+    assert got["芝Ｂ"] == ("芝", "B") and got["丙・C"] == ("丙", "C") and got["乙 U-18"] == ("乙 U-18", "A")
+    assert got["甲(B)"] == ("甲(B)", "A") and got["甲乙C"] == ("甲乙", "C") and got["ABC"] == ("ABC", "A") and got["甲FC"] == ("甲FC", "A")
+    base, side = N.split_side(F.col("n"))
+    got = {r.n: (r.base, r.side) for r in spark.createDataFrame([("國學甲Ｃ",), ("甲B",), ("乙",)], "n string").select("n", base.alias("base"), side.alias("side")).collect()}
+    assert got == {"國學甲Ｃ": ("国学甲", "C"), "甲B": ("甲B", ""), "乙": ("乙", "")}
+    levels = spark.createDataFrame([("プリンス関東", None), ("T3", None), ("地区", "2部A"), ("地区", None), (None, "1部")], "l string, d string").select(N.level_of(F.col("l"), F.col("d"))).collect()
+    assert [r[0] for r in levels] == ["プリンス", "T3", "2部", "地区", "1部"]
+    bad = spark.createDataFrame([("かえつ",), ("東",), ("甲1",), ("甲・乙",), ("",), ("甲" * 13,), ("※甲",)], "n string").where(N.broken(F.col("n"))).collect()
+    assert [r[0] for r in bad] == ["甲1", "甲・乙", "", "甲" * 13, "※甲"]
     edition, rest = N.split_stage(F.col("s"))
     s = spark.createDataFrame([("第92回 予選",), ("予選",)], "s string").select("s", N.join_stage(edition, rest).alias("t")).collect()
     assert all(r.s == r.t for r in s)
