@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..operators import dataset as D
 from ..operators import graph as B
@@ -13,6 +12,7 @@ from ..operators import records as Rec
 from ..session import checkpointed, table
 from .q_rating import _advance_sql
 from .q_reconcile import PLAYED
+from .ranking import global_rank
 
 G, V = P.GAMES_SQL, P.VIEWS_SQL
 WITH = f"with {G}, {V.format('played')}"
@@ -33,7 +33,7 @@ def source_registry(spark: SparkSession, d: str) -> DataFrame:
     """Existing ids: the documents of the first season."""
     g = _g(spark, d)
     old = g.where("doc is not null and season = 2004").select("doc").distinct()
-    return D.source_registry(g, old.select("doc", F.row_number().over(Window.orderBy("doc")).alias("id")))
+    return D.source_registry(g, global_rank(old, F.col("doc"), name="id"))
 
 
 def provenance(spark: SparkSession, d: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import perspective as P
 from ..operators import reconcile as R
 from ..session import table
+from .ranking import global_rank
 
 G, V = P.GAMES_SQL, P.VIEWS_SQL
 PLAYED = "(status in ('終了', 'スコアのみ記載（赤線未反映）', '赤線が両側（スコアで判定）') and sa is not null and sb is not null)"
@@ -85,9 +86,7 @@ def newest_publication(spark: SparkSession, d: str) -> DataFrame:
 def surrogate_ids(spark: SparkSession, d: str) -> DataFrame:
     """Existing ids: the roster, numbered by key."""
     roster = table(spark, d, "school_roster").select("key")
-    from pyspark.sql.window import Window
-
-    existing = roster.select(F.col("key").alias("name"), F.row_number().over(Window.orderBy("key")).alias("id"))
+    existing = global_rank(roster.select(F.col("key").alias("name")), F.col("name"), name="id")
     return R.surrogate_ids(_g(spark, d), existing)
 
 

@@ -52,7 +52,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path  # for release
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete the tables behind frames that checkpointed returned and nothing reads any more, as those of an earlier round."""
+    for df in frames:
+        path = getattr(df, "written_to", None)
+        if path is not None:
+            jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
