@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from pyspark.sql import types as T
 
-from ..session import checkpointed
+from ..session import checkpointed, release
 from . import logistic, school_names
 
 COSINE = 0.15  # least cosine of two vectors to be looked at
@@ -288,8 +288,10 @@ def average_linkage(weights: DataFrame, pairs: DataFrame, threshold: float = LIN
             member = checkpointed(followed(member))
             steps.clear()
         ren = lambda df, c: df.join(step.select(F.col("old").alias(c), F.col("new").alias(f"_{c}")), c, "left").withColumn(c, F.coalesce(f"_{c}", c)).drop(f"_{c}")
+        old = edges, sizes, best
         edges = checkpointed(ren(ren(edges, "a"), "b").where("a <> b").groupBy("a", "b").agg(F.sum("mass").alias("mass")))
         sizes = checkpointed(ren(sizes, "c").groupBy("c").agg(F.sum("n").alias("n")))
+        release(*old)
     return followed(member)
 
 

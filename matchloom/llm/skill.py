@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.ranking import global_rank
-from ..session import checkpointed
+from ..session import checkpointed, release
 from .name_variants import school_clusters
 from .survivor import _mechanical, with_schools
 
@@ -69,7 +69,8 @@ def infer_skills(edges: DataFrame, items: DataFrame, tolerance: float = TOLERANC
     tolerance in the last one; more than `MOST` rounds are an error."""
     sites = checkpointed(edges.selectExpr("winner", "loser", "cast(n as double) as n", *[f"0d as {m}" for m in _MESSAGES]))
     for k in range(MOST):
-        sites = checkpointed(_round(sites))
+        old, sites = sites, checkpointed(_round(sites))
+        release(old)
         if k % CHECK < CHECK - 1:
             continue
         # what the last round moved
