@@ -41,7 +41,7 @@ SHARE = 0.42  # least share of stuffing and links
 INVISIBLE = re.compile("[​-‏⁠-⁤﻿\xad᠎︀-️]")
 LINK = re.compile(r"(?:https?://|www\.)[^\s、。（）()\]→・|,\"<>]+|[a-z0-9][a-z0-9.\-]*\.[a-z]{2,8}/[^\s、。（）()\]→・|,\"<>]*")
 TERM = re.compile("[ァ-ヴー]+|[一-龥々]+|[A-Za-z]{2,}")
-KINDS = re.compile("([ぁ-ゖ])|([ァ-ヴー])|([一-龥々])|([A-Za-zÀ-ɏ])|([0-9])")
+KINDS = [re.compile(f"[{kind}]+") for kind in ("ぁ-ゖ", "ァ-ヴー", "一-龥々", "A-Za-zÀ-ɏ", "0-9")]
 UNIT = re.compile(r"[\n、,，>＞|｜／/・;；]+")
 EDGE = " \t　#＃[](){}:：.。0123456789★円-–"
 
@@ -63,8 +63,7 @@ def page_shape(text: str | None) -> tuple:
     latin = sum(len(w) for w in words if w[0] < "ɐ")
     script = "latin" if latin * 2 > body else "ja"
     joined = Counter(w.lower() for w in re.findall("[A-Za-z]+", y)) if script == "latin" else {}
-    by_kind = Counter(m.lastindex for m in KINDS.finditer(y))
-    mix = [by_kind[k] for k in range(1, 6)]
+    mix = [len("".join(kind.findall(y))) for kind in KINDS]
     units = [u for u in (p.strip(EDGE) for p in UNIT.split(y)) if len(u) >= 2]
     if len(units) < 6:
         units = [u for u in (p.strip(EDGE) for p in y.split()) if len(u) >= 2]
