@@ -165,12 +165,12 @@ def link_targets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def score_mentions(spark: SparkSession, d: str) -> DataFrame:
-    """S18: "A 1-2 B" lines of result lists in the documents."""
+    """S18: "A 1-2 B" lines of result lists in the documents; a number beyond an int is null. Only a line feed ends a line."""
     t = table(spark, d, "documents").where("text is not null")
-    pattern = r"(?m)^(準々決勝|準決勝|決勝|代表決定戦|\d回戦) ([^ \n]+) (\d+)-(\d+) ([^ \n]+)$"
+    pattern = r"(?md)^(準々決勝|準決勝|決勝|代表決定戦|\d回戦) ([^ \n]+) (\d+)-(\d+) ([^ \n]+)$"
     hit = F.regexp_extract_all("text", F.lit(pattern), 0)
     x = t.select("doc_id", F.posexplode(hit).alias("k", "line"))
-    return x.select("doc_id", "k", F.regexp_extract("line", pattern, 1).alias("round"), F.regexp_extract("line", pattern, 3).cast("int").alias("sa"), F.regexp_extract("line", pattern, 4).cast("int").alias("sb"))
+    return x.select("doc_id", "k", F.regexp_extract("line", pattern, 1).alias("round"), F.regexp_extract("line", pattern, 3).try_cast("int").alias("sa"), F.regexp_extract("line", pattern, 4).try_cast("int").alias("sb"))
 
 
 def table_rows(spark: SparkSession, d: str) -> DataFrame:

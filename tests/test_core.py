@@ -18,6 +18,7 @@ from matchloom.operators import perspective as P
 from matchloom.operators import rating as E
 from matchloom.operators import reconcile as R
 from matchloom.operators import records
+from matchloom.plans import q_text
 from matchloom.plans.ranking import global_rank
 from matchloom.session import checkpointed
 from matchloom.sources import readers, sinks
@@ -323,3 +324,10 @@ def test_check_report_has_names_and_messages(spark):
     got = {(r.check_id, r.key): r.message for r in R.check_report(g, spark.createDataFrame([("甲",)], "key string")).collect()}
     assert {k for c, k in got if c == "Q6"} == {"Z", "X"}  # Y stands for two schools: a known issue
     assert got["Q6", "Z"] == "Z: printed name neither registered nor exempt (1)" and all(got.values())
+
+
+def test_score_mentions_of_odd_numbers_and_line_ends(spark, tmp_path):
+    text = "決勝 甲 12345678901230-2 乙\n2回戦 甲 1-0 乙\r丙 丁\n前\r準決勝 甲 3-1 乙\n準決勝 甲 2-1 乙"
+    spark.createDataFrame([(1, text), (2, None)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in q_text.score_mentions(spark, str(tmp_path)).collect())
+    assert got == [(1, 0, "決勝", None, 2), (1, 1, "準決勝", 2, 1)]
