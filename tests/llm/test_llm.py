@@ -164,6 +164,35 @@ def test_cosine_join_is_exact(spark):
         assert want.keys() == got.keys() and all(abs(want[k] - got[k]) < 1e-9 for k in want)
 
 
+def test_related_pairs_leave_no_unrelated_pair_in_a_table(spark):
+    """Related spellings as rows, the others, whose number grows with the square of the names, as counts by bin."""
+    random.seed(5)
+    names = {"".join(random.choice("甲乙丙丁山川谷森林泉") for _ in range(random.randrange(2, 5))) + random.choice(["", "学園", "農業", "農"]) for _ in range(90)} | {"()", "FC"}
+    table = [(x, random.randrange(1, 4), [random.randrange(3) for _ in range(name_variants.AREAS)]) for x in sorted(names)]
+    df = spark.createDataFrame(table, "name string, n int, areas array<int>")
+    sheets = {tuple(sorted(random.sample(sorted(names), 2))): k for k in range(1, 60)} | {("()", "FC"): 7}
+    shared = spark.createDataFrame([(a, b, k) for (a, b), k in sheets.items()], "a string, b string, shared int")
+    cosine = {(r.a, r.b): r.cosine for r in name_variants.cosine_pairs(df).collect()}
+    pairs = spark.createDataFrame([(*k, cosine.get(k), sheets.get(k), False) for k in cosine | sheets], "a string, b string, cosine double, shared int, met boolean")
+    full = name_variants.described_pairs(df, pairs).toPandas()
+    got = name_variants.related_pairs(df, shared).collect()
+    rows = {(r.a, r.b): (r.cosine, r.shared) for r in got if r.a is not None}
+    near = full[full.kind.notna()]
+    assert 0 < len(near) < len(full) and rows.keys() == set(zip(near.a, near.b, strict=True))
+    assert all(v == (pytest.approx(cosine[k]) if k in cosine else None, sheets.get(k)) for k, v in rows.items())
+    want = np.bincount(name_variants.area_bins(full[full.kind.isna()]["agree"].to_numpy(float)), minlength=5)
+    assert [sum(r.pairs for r in got if r.a is None and r.bin == k) for k in range(5)] == want.tolist()
+
+
+def test_contest_sheets_are_shuffled_once(spark, monkeypatch):
+    """Nothing is written between, and rows without a document meet those of any, once a pair."""
+    monkeypatch.setattr(name_variants, "checkpointed", None)
+    rows = [match(k, a, "露池鳳", doc=doc) for k, (a, doc) in enumerate([("啓笹", "sen20_ij_000001.pdf"), ("啓笹農", "sen20_ij_000001_v2.pdf"), ("笹啓", None), ("虹青里", "sen20_ij_000009.pdf"), ("啓", None)])]
+    got = {(r.a, r.b): r.shared for r in name_variants.shared_contests(spark.createDataFrame(rows, MATCHES)).collect()}
+    names = sorted(["啓笹", "啓笹農", "笹啓", "虹青里", "啓"])
+    assert got == {(a, b): 1 for i, a in enumerate(names) for b in names[i + 1 :] if "虹青里" not in (a, b) or {"笹啓", "啓"} & {a, b}}
+
+
 def test_school_clusters_empty(spark):
     assert name_variants.school_clusters(spark.createDataFrame([], MATCHES)).count() == 0
 
