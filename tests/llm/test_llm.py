@@ -281,6 +281,17 @@ def test_survivors_take_corrections_and_other_spellings(spark):
     assert (free[1].score_seq, free[5].score_origin, free[5].score_seq) == (10, "matches", 6)
 
 
+def test_unbound_survivors_search_nothing(spark, capsys):
+    """Each bundle by itself: no search, and no columns of the winner or the place."""
+    m = spark.createDataFrame([match(1, "甲鳳池", "乙青里", note="短い", day=1), match(2, "乙青里", "甲鳳池", sa=None, note="長い備考", day=2, doc=None)], MATCHES)
+    clusters = spark.createDataFrame([(x, x) for x in ("甲鳳池", "乙青里")], "name string, cluster string")
+    rows = survivor.with_schools(m.drop("勝者", "チームA", "チームB", "PK_A", "PK_B", "地区・支部", "ブロック"), clusters)
+    free = survivor.survivors(rows, survivor.groups_of(rows), bound=False, bundles=("score", "remark", "document"))
+    free.explain()
+    assert "MapInPandas" not in capsys.readouterr().out
+    assert [(r.copies, r.score_seq, r.remark_seq, r.document_seq, r.winner_seq, r.place_seq) for r in free.collect()] == [(2, 1, 2, 1, None, None)]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.tuples(st.integers(1, 9), st.sampled_from(["x", "y", None])), max_size=4), min_size=1, max_size=4))
 def test_best_choice_is_best(bundles):
