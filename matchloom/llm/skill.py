@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.ranking import global_rank
-from ..session import checkpointed, release
+from ..session import checkpointed, collect_garbage, release
 from .name_variants import school_clusters
 from .survivor import _mechanical, with_schools
 
@@ -86,19 +86,20 @@ def infer_skills(edges: DataFrame, items: DataFrame, tolerance: float = TOLERANC
 
 def outcomes(matches: DataFrame, clusters: DataFrame) -> DataFrame:
     """(winner, loser, n): decided contests between schools, each contest once."""
-    rows = with_schools(matches, clusters).where("sa <> sb")
     a, b = F.col("得点A").try_cast("int"), F.col("得点B").try_cast("int")
     pa, pb = F.col("PK_A").try_cast("int"), F.col("PK_B").try_cast("int")
-    named = F.when(F.col("勝者") == F.col("チームA"), F.col("sa")).when(F.col("勝者") == F.col("チームB"), F.col("sb"))
-    by_score = F.when(a > b, F.col("sa")).when(a < b, F.col("sb")).when(pa > pb, F.col("sa")).when(pa < pb, F.col("sb"))
-    rows = rows.withColumn("by_score", by_score).withColumn("named", F.when(F.col("by_score").isNull(), named))
+    # the side that has won is read before any join, so that few columns of a row are shuffled
+    by_score = F.when(a > b, "a").when(a < b, "b").when(pa > pb, "a").when(pa < pb, "b")
+    named = F.when(F.col("勝者") == F.col("チームA"), "a").when(F.col("勝者") == F.col("チームB"), "b")
+    keep = ["年度", "大会", "段階", "ラウンド", "チームA_正規化", "チームB_正規化", "取込日時", "seq"]
+    rows = matches.withColumns({"by_score": by_score, "side": F.coalesce(by_score, named)})
+    told = rows.where("side is not null").select(*keep, "by_score", "side", F.lit(None).cast("string").alias("looked_up"))
     # winners written otherwise than the sides are looked up by their cleaned spelling
-    open_ = F.col("by_score").isNull() & F.col("named").isNull() & F.col("勝者").isNotNull()
-    rows = rows.withColumn("clean", F.when(open_, _mechanical("勝者")))
     known = clusters.select(F.col("name").alias("clean"), F.col("cluster").alias("looked_up"))
-    rows = rows.join(known, "clean", "left")
+    open_ = rows.where("side is null and `勝者` is not null").withColumn("clean", _mechanical("勝者")).join(known, "clean").select(*keep, "by_score", "side", "looked_up")
+    rows = with_schools(told.unionByName(open_), clusters).where("sa <> sb")
     looked = F.when(F.col("looked_up").isin(F.col("sa"), F.col("sb")), F.col("looked_up"))
-    rows = rows.withColumn("winner", F.coalesce("by_score", "named", looked)).where("winner is not null")
+    rows = rows.withColumn("winner", F.coalesce(F.when(F.col("side") == "a", F.col("sa")).when(F.col("side") == "b", F.col("sb")), looked)).where("winner is not null")
     rank = F.struct(F.col("by_score").isNotNull().alias("sure"), F.col("取込日時").alias("at"), (-F.col("seq")).alias("tie"))
     once = rows.groupBy("年度", "大会", "段階", "ラウンド", "s1", "s2").agg(F.max_by("winner", rank).alias("winner"))
     return once.select("winner", F.when(F.col("winner") == F.col("s1"), F.col("s2")).otherwise(F.col("s1")).alias("loser")).groupBy("winner", "loser").agg(F.count("*").alias("n"))
@@ -108,7 +109,9 @@ def p5_ranking(spark: SparkSession, folder: str) -> DataFrame:
     """(rank, school, mu, sigma, lower, wins, losses) of all schools of matches."""
     matches = spark.read.parquet(f"{folder}/matches.parquet")
     clusters = checkpointed(school_clusters(matches).select("name", "cluster"))
+    collect_garbage(spark)
     edges = checkpointed(outcomes(matches, clusters))
+    collect_garbage(spark)
     items = checkpointed(clusters.select(F.col("cluster").alias("item")).distinct())
     skills = infer_skills(edges, items)
     tally = (

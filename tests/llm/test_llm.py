@@ -413,6 +413,20 @@ def test_skills_of_nothing_and_of_an_endless_row(spark, monkeypatch):
         skill.infer_skills(spark.createDataFrame([("a", "b", 3)], "winner string, loser string, n bigint"), spark.createDataFrame([("a",), ("b",)], "item string"), -1.0)
 
 
+def test_outcomes_shuffle_no_scores(spark, capsys):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        m = spark.createDataFrame([match(1, "甲鳳池", "乙青里"), match(2, "甲鳳池", "丙笹農", "1", "1", winner="都立丙笹農高校")], MATCHES)
+        clusters = spark.createDataFrame([(x, x) for x in ("甲鳳池", "乙青里", "丙笹農")], "name string, cluster string")
+        edges = skill.outcomes(m, clusters)
+        edges.explain("formatted")
+        shuffled = [x.partition("Arguments")[0] for x in capsys.readouterr().out.split(") Exchange\n")[1:]]
+        assert shuffled and not any(c in x for x in shuffled for c in ("得点A", "PK_A", "勝者"))
+        assert sorted((r.winner, r.loser, r.n) for r in edges.collect()) == [("丙笹農", "甲鳳池", 1), ("甲鳳池", "乙青里", 1)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_outcomes(spark):
     rows = [match(1, "甲", "乙", "2", "1"), match(2, "乙", "甲", "1", "2"), match(3, "甲", "丙", None, None, winner="丙"), match(4, "甲", "甲"), match(5, "乙", "丙", "1", "1", winner="?")]
     clusters = spark.createDataFrame([(x, x) for x in "甲乙丙"], "name string, cluster string")
